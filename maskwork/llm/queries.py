@@ -5,19 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, sharding
+from . import exact_dedup, langmix, mixture, ngram_join, quality, sentencepiece_codec, sharding, tokenfile
 
 SHARDS = 40
+#: Vocabulary files are read where they are installed and never copied.
+TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.tree(SHARDS), sharding.tree(SHARDS + 1))
 
 
+def op3_ranked_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.shared_path(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(TOKENIZER))
+    ids = F.col("ids_le")
+    return tokenfile.read_tokens(spark, path).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = docs.select("doc_id", "source", mixture.words_of(F.col("text")).alias("size"))
@@ -25,11 +45,32 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position"))
 
 
+def op7_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langmix.train(docs.filter(~langmix.held_out(F.col("doc_id"))))
+    slim = docs.select("doc_id", langmix.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langmix.classify(slim, model, keep=["doc_id", "held_out"])
+
+
+def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~langmix.held_out(F.col("doc_id")))
+    weights = quality.train(docs, labels)
+    slim = docs.select("doc_id", langmix.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return quality.score(slim, weights, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hash_tree_sharding, op4_curriculum_mix, op9_tree_merge_dedup)}
+def op10_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), vocabulary(PIECES), keep=["doc_id"])
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_parity_sketch_join, op2_hash_tree_sharding, op3_ranked_token_file, op4_curriculum_mix, op7_mixture_language_id, op8_ftrl_quality, op9_tree_merge_dedup, op10_sentencepiece_chunks)}
 
 ORACLES = {
     "op9_tree_merge_dedup": r"""
