@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and, in the struct _row, all columns of df: other columns then clash with nothing."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *keys)
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

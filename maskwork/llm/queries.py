@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langmix, mixture, ngram_join, quality, sentencepiece_codec, sharding, tokenfile
+from . import exact_dedup, langmix, line_dedup, mixture, ngram_join, quality, sentencepiece_codec, sharding, tokenfile, vector_forest
 
 SHARDS = 40
 #: Vocabulary files are read where they are installed and never copied.
@@ -45,6 +45,15 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position"))
 
 
+def op5_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "removed_words", "partners", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langmix.train(docs.filter(~langmix.held_out(F.col("doc_id"))))
@@ -70,7 +79,7 @@ def op10_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_parity_sketch_join, op2_hash_tree_sharding, op3_ranked_token_file, op4_curriculum_mix, op7_mixture_language_id, op8_ftrl_quality, op9_tree_merge_dedup, op10_sentencepiece_chunks)}
+QUERIES = {f.__name__: f for f in (op1_parity_sketch_join, op2_hash_tree_sharding, op3_ranked_token_file, op4_curriculum_mix, op5_patience_line_dedup, op6_projection_forest, op7_mixture_language_id, op8_ftrl_quality, op9_tree_merge_dedup, op10_sentencepiece_chunks)}
 
 ORACLES = {
     "op9_tree_merge_dedup": r"""
