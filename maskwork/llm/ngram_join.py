@@ -12,11 +12,12 @@ commonest segments, those with fewest tokens, in one order that all sets share;
 agreeing segment then stays on both sides. So each set publishes d + 1 keys and no link is lost.
 
 Keys travel as packed blobs, one per task and hash partition, and are sorted with numpy there.
-Of the sets under one key only the star around the smallest signature is verified first: the
-work is linear in the group. Verified links make components; then only keys whose sets still
-lie in different components are looked at again, pair by pair, under the Hamming bound of a
-second, 512-bit parity sketch, in blocks of bounded size, and what passes is verified. A linked
-pair is thus either verified or already connected, and components are exact.
+Of the sets under one key only a star is verified first, around the set that meets most others
+under all its keys (in a group of near copies, their common original): the work is linear in the
+group. Verified links make components; then only keys whose sets still lie in different
+components are looked at again, pair by pair, under the Hamming bound of a second parity sketch
+of about two bits a member, in blocks of bounded size, and what passes is verified. A linked pair
+is thus either verified or already connected, and components are exact.
 
 Verification intersects the whole hash sets.
 
@@ -42,10 +43,10 @@ from .common import cut, shuffle_partitions
 from .components import components
 
 SPARE = 0.25
-BITS = 512
-FLUSH_KEYS = 1 << 21
+LEAST_BITS, MOST_BITS = 512, 1 << 14
+FLUSH_KEYS = 1 << 20
 BLOCK = 1024
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -115,11 +116,23 @@ def scheme_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """BITS parity bits: every member flips one, so the Hamming distance is at most the difference."""
-    flips = np.bincount((mixed(s ^ _A) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parity bits: every member flips one, so the Hamming distance is at most the difference.
+
+    The number of bits is a power of two; XORing the halves gives the sketch of half as many.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s) - 1).bit_length()))
+    flips = np.bincount((mixed(s ^ _A) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch XOR-folded to size bytes, as 64-bit words."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 OUT = "kind int, id long, a long, b long, part int, blob binary"
 
 
@@ -172,7 +185,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes kind 0 on. Kind 2: star pair (a, b). Kind 3: set b is one of those that bucket a joined."""
+    """Passes kind 0 on. Kind 2: two sets alone under a key. Kind 3: set b is one of three or more of bucket a."""
     by_part: dict[int, list[bytes]] = {}
     for b in batches:
         kinds = b.column("kind").to_numpy()
@@ -206,7 +219,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
         leader = np.repeat(who[starts], sizes)
-        pairs = np.unique(np.stack([leader, who], 1)[leader != who], axis=0)
+        two = np.repeat(sizes == 2, sizes)
+        pairs = np.unique(np.stack([leader, who], 1)[two & (leader != who)], axis=0)
         for i in range(0, len(pairs), 1 << 16):
             yield _rows(2, len(pairs[i : i + (1 << 16)]), a=pairs[i : i + (1 << 16), 0], b=pairs[i : i + (1 << 16), 1])
         # Buckets of three sets or more; those with the same sets are one, named by a hash of them.
@@ -255,7 +269,9 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         g = pa.Table.from_batches(group)
         sig, comp, n = (g.column(c).to_numpy() for c in ("sig", "comp", "n"))
         side, at, x, y = (g.column(c).to_numpy() for c in ("block", "block", "x", "y"))
-        bits = np.frombuffer(b"".join(g.column("bits").to_pylist()), np.uint8).reshape(len(sig), -1).view(np.uint64)
+        sketches = g.column("bits").to_pylist()
+        size = min(map(len, sketches))
+        bits = np.stack([folded(x, size) for x in sketches])
         first = np.flatnonzero(at == x)
         second = np.flatnonzero(at == y)
         del side
@@ -293,8 +309,13 @@ def link_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     sketched = slim.mapInArrow(partial(_sketch, k=k, num=num, den=den, parts=parts), OUT)
     met = cut(sketched.repartition(parts, "part").mapInArrow(_meet, OUT).drop("part", "blob"))
     docs = met.filter("kind = 0").select("id", F.col("a").alias("n_shingles"), F.col("b").alias("sig"))
-    stars = met.filter("kind = 2").select("a", "b").distinct()
-    members = met.filter("kind = 3").select(F.col("a").alias("bucket"), F.col("b").alias("sig")).distinct()
+    members = cut(met.filter("kind = 3").select(F.col("a").alias("bucket"), F.col("b").alias("sig")).distinct())
+    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket")
+    busy = members.join(sized.groupBy("sig").agg(F.sum("rows").alias("met")), "sig")
+    hubs = busy.groupBy("bucket").agg(F.max_by("sig", F.struct("met", "sig")).alias("a"))
+    around = members.join(hubs, "bucket").filter("a <> sig").select("a", F.col("sig").alias("b"))
+    ordered = around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    stars = cut(met.filter("kind = 2").select("a", "b").unionByName(ordered).distinct())
 
     needed = stars.select(F.col("a").alias("sig")).union(stars.select("b")).distinct()
     chosen = docs.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.max("id").isNull().alias("no_id"))
