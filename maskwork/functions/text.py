@@ -107,7 +107,7 @@ def zeros_for_os(text: Column) -> Column:
     run = rf"{UNICODE}(?<!{ALNUM})[0-9oO]*[0-9][0-9oO]*(?!{ALNUM})"
     gaps, found = F.split(text, run, -1), F.regexp_extract_all(text, F.lit(run), F.lit(0))
     fixed = F.transform(found, lambda m: F.translate(m, "oO", "00"))
-    woven = F.array_join(F.zip_with(gaps, F.concat(fixed, F.array(F.lit(""))), F.concat), "")
+    woven = F.array_join(F.zip_with(gaps, F.concat(fixed, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
     return F.when(text.rlike(r"[0-9][oO]|[oO][0-9]"), woven).otherwise(text)
 
 

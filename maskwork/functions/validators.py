@@ -149,7 +149,7 @@ class Columns:
         return F.aggregate(places, F.lit(start).cast("long"), lambda a, x: step(a, x).cast("long"))
 
     def luhn(self, v):
-        return F.coalesce(F.luhn_check(v), F.lit(False))
+        return F.coalesce(F.call_function("luhn_check", v), F.lit(False))
 
     def entropy(self, v):
         chars = F.split(v, "")

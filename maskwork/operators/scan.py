@@ -13,7 +13,7 @@ from functools import cache
 import regex
 
 from ..functions.validators import check
-from ..sources.rules import Rule
+from ..sources.rules import Rule, compiled
 
 __all__ = ["ListIndex", "Span", "dictionary_spans", "list_spans", "rule_spans", "word_spans", "zeros_for_os", "replace"]
 
@@ -53,6 +53,8 @@ def rule_spans(text: str, rules: Iterable[Rule]) -> list[Span]:
     for rule in rules:
         if not has_digit and needs_digit(rule.pattern):
             continue
+        if rule.needs and not compiled(rule.needs, rule.flags).search(view):
+            continue
         find, taken = rule.compiled.search, set()
         for hay in views:
             at = 0

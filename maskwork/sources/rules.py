@@ -58,6 +58,7 @@ class Rule:
     examples: tuple[str, ...] = ()
     description: str = ""
     extras: tuple[tuple[str, str], ...] = ()
+    needs: str = ""
 
     @property
     def source(self) -> str:
@@ -131,7 +132,7 @@ def pack(region: str) -> tuple[Rule, ...]:
     for name, kind, confidence, flags, check, use, about, pattern, examples in PACKS[region][2]:
         level, _, verticals = use.partition(":")
         category, _, subtype = about.partition("/")
-        out.append(Rule(f"regex:{region}:{name}", region, kind, pattern, flags, confidence, check, {"base": "baseline", "spec": "specialized"}[level], tuple(v for v in verticals.split(",") if v), category, subtype, tuple(examples)))
+        out.append(Rule(f"regex:{region}:{name}", region, kind, str(pattern), flags, confidence, check, {"base": "baseline", "spec": "specialized"}[level], tuple(v for v in verticals.split(",") if v), category, subtype, tuple(examples), needs=getattr(pattern, "needs", "")))
     return tuple(out)
 
 
