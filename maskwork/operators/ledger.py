@@ -18,7 +18,7 @@ MALE = ["M.", "Monsieur", "Mr", "Sr", "Señor", "Don", "D."]
 
 
 def _before(honorifics: list[str]) -> regex.Pattern:
-    return regex.compile(rf"(?<![\p{{Alphabetic}}.])(?:{'|'.join(map(regex.escape, honorifics))})\.?[  ]+\Z")
+    return regex.compile(rf"(?<![\p{{Alphabetic}}.])(?:{'|'.join(map(regex.escape, honorifics))})\.?[ \u00A0]+\Z")
 
 
 _FEMALE, _MALE = _before(FEMALE), _before(MALE)

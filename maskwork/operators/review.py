@@ -35,7 +35,7 @@ PRODUCT_MARKS = ["etf", "etfs", "etp", "etn", "ucits", "sicav", "opcvm", "spdr",
 #: Figures, and words on lines whose figures name an account.
 _FIGURE = regex.compile(r"[+\-−]?[€$£]?\d+(?:[.,]\d+)+\s?%?")
 _ACCOUNT = regex.compile(r"\b(account|acct|compte|cuenta|iban|bic|swift|phone|tel|mobile|passport|client|customer|policy|member|ref|reference|contract|number|numero|id)\b", regex.I)
-_FOLLOWING = regex.compile(r"[\p{L}\p{N}&.'’-]*(?:[  ]+[\p{Lu}\p{N}&][\p{L}\p{N}&.-]*){0,4}")
+_FOLLOWING = regex.compile(r"[\p{L}\p{N}&.'’-]*(?:[ \u00A0]+[\p{Lu}\p{N}&][\p{L}\p{N}&.-]*){0,4}")
 
 
 def core(value: str) -> tuple[int, int] | None:
