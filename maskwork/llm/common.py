@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: Tables of at most so many rows may be broadcast; above it a shuffled join does the same.
-BROADCAST_ROWS = 20_000
+#: Tables of a few short columns may be broadcast up to so many rows (tens of MB); above it a
+#: shuffled join does the same.
+BROADCAST_ROWS = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Arrow batches sent to Python hold at most so many bytes, which bounds the workers' memory.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Python no batches larger than BATCH_BYTES (one row at least)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def packed(df: DataFrame, *keys: str) -> DataFrame:
     """keys and, in the struct _row, all columns of df: other columns then clash with nothing."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *keys)

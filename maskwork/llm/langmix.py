@@ -18,7 +18,6 @@ columns of its input; `lang_pred` and `score` replace columns of those names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import as_bytes, pieces
+from .arrowtext import as_bytes, pieces, release
+from .common import bounded_batches
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
 ROUNDS = 8
 PENALTY = 2.0
-LETTER = re.compile(r"[^\W\d_]")
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[:128] = [ord(chr(i).lower()) if chr(i).isalpha() else 32 for i in range(128)]
@@ -54,7 +53,7 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", 1 << 20):
         langs, texts = b.column("lang").to_pylist(), as_bytes(b.column("text"))
         for lang in set(langs):
             code, _, _ = _grams([t for t, x in zip(texts, langs) if x == lang])
@@ -62,11 +61,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, n in total.items():
         (at,) = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "gram", "n"])
+    release()
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and the log-probability of each bucket (last row: 0) by language."""
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    rows = bounded_batches(df).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     names = [r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -124,21 +124,22 @@ def proportions(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
 
 def _classify(batches: Iterator[pa.RecordBatch], model, text_col: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     names, table = model.value
-    for b in pieces(batches, text_col, 1 << 20):
+    for b in pieces(batches, text_col, 1 << 19):
         raw = as_bytes(b.column(text_col))
         share = proportions(raw, table)
         pred, score = [], []
         for t, row in zip(raw, share):
-            known = t is not None and names and row.any() and LETTER.search(t.decode("utf-8", "replace"))
+            known = t is not None and names and row.any() and any(map(str.isalpha, t.decode("utf-8", "replace")))
             pred.append(names[int(row.argmax())] if known else "und")
             score.append(min(1.0, float(row.max())) if known else 0.0)
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+    release()
 
 
 def classify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep), lang_pred and score. Only the text is looked at."""
     keep = [c for c in (keep if keep is not None else df.columns) if c not in ("lang_pred", "score")]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(df).sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(partial(_classify, model=shared, text_col=text_col, keep=keep), schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import as_bytes, lists, pieces
-from .common import cut
+from .common import bounded_batches, cut
 
 ANCHOR_WORDS = 3
 MIN_WORDS = 8
@@ -118,7 +118,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All documents (node, id, sig, hashes, words) and those to cut (node, gone, partners)."""
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("text")).mapInArrow(_lines, "id long, sig long, hashes array<long>, words array<int>")
+    slim = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("text")).mapInArrow(_lines, "id long, sig long, hashes array<long>, words array<int>")
     docs = cut(slim.dropDuplicates(["id", "sig"]).withColumn("node", F.monotonically_increasing_id()))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("sig").alias("sig"), F.col("node").alias("node"))
     held = docs.select(place.alias("place"), F.explode(F.arrays_zip("hashes", "words")).alias("l")).filter(f"l.words >= {ANCHOR_WORDS}").select(F.col("l.hashes").alias("h"), "place").distinct()

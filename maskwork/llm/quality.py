@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import as_bytes, lists, pieces
+from .arrowtext import as_bytes, lists, pieces, release
+from .common import bounded_batches
 
 BITS = 20
 MAX_TRAIN = 16_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 300_000
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\x00-\x20a-z0-9\x80-\xff]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,6 +72,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [features(t) for t in as_bytes(b.column("text"))]
         n = np.array([len(x) for x, _ in found])
         yield pa.RecordBatch.from_arrays([b.column("place"), b.column("label"), lists(np.concatenate([x for x, _ in found]), n, pa.int32()), lists(np.concatenate([x for _, x in found]), n, pa.float32())], names=["place", "label", "at", "value"])
+    _hashes.clear()
+    release()
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
@@ -101,6 +104,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN) -> np.ndarray:
+    bounded_batches(df)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and _id is not null")
     place = F.md5(F.col("_id").cast("string").cast("binary"))
     n = known.count()
@@ -120,11 +124,13 @@ def _score(batches: Iterator[pa.RecordBatch], weights, text_col: str, keep: list
         first = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])[:-1]])
         dots = np.add.reduceat(w[np.concatenate([x for x, _ in found])] * np.concatenate([v for _, v in found]), first, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))], names=[*keep, "score"])
+    _hashes.clear()
+    release()
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) and score. Only the text is looked at."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != "score"]
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    shared = bounded_batches(df).sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(partial(_score, weights=shared, text_col=text_col, keep=keep), schema)

@@ -3,8 +3,7 @@
 Where no piece of the vocabulary holds a white-space marker behind another character, merges
 cannot cross the place before a run of markers. Each distinct marked word is then segmented once
 by the library, kept in a table, and the ids of a text are the joined ids of its words, in order.
-The table lives in the Python worker and is emptied at TABLE_LIMIT entries, so its memory is
-bounded; it needs no shuffle and can be rebuilt anywhere if an executor is lost. Models whose
+The table lives for one task and is emptied at TABLE_LIMIT entries, so its memory is bounded; it needs no shuffle and can be rebuilt anywhere if an executor is lost. Models whose
 pieces cross markers, or whose normaliser changes texts, are encoded text by text instead.
 
 Decoding is the library's decode(ids).
@@ -25,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowtext import lists, pieces
+from .arrowtext import lists, pieces, release
+from .common import bounded_batches
 
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 200_000
 MARK = "▁"
 RUNS = re.compile(" +[^ ]*")
 
@@ -88,6 +88,8 @@ def _run(batches: Iterator[pa.RecordBatch], model_file: str, text_col: str, keep
         if decode:
             out.append(pa.array([table.lib.decode(x.tolist()) if len(x) else "" for x in ids], type=pa.string()))
         yield pa.RecordBatch.from_arrays(out, names=[*keep, "ids", *["decoded"] * decode])
+    table.clear()
+    release()
 
 
 def encode(df: DataFrame, model_file: str, text_col: str = "text", decode: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -95,4 +97,4 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", decode: bool
     keep = [c for c in (keep if keep is not None else df.columns) if c not in ("ids", "decoded")]
     need = list(dict.fromkeys([*keep, text_col]))
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode)
-    return df.select(*need).mapInArrow(partial(_run, model_file=model_file, text_col=text_col, keep=keep, decode=decode), schema)
+    return bounded_batches(df).select(*need).mapInArrow(partial(_run, model_file=model_file, text_col=text_col, keep=keep, decode=decode), schema)
