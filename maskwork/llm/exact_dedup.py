@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut
+from .common import ASCII_SPACE, cut, maybe_broadcast
 
 ROUND_BITS = 4
 KEY = ["_sha", "_bytes", "_check"]
@@ -68,6 +68,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = cut(decided.filter("not kept").groupBy(F.col(id_col).alias("_gid"), F.col("text_sha256").alias("_gsha")).agg(F.first("keep_id").alias("_gkeep")))
     marked = df.withColumn("_gsha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     on = F.col(id_col).eqNullSafe(F.col("_gid")) & (marked["_gsha"] == gone["_gsha"])
+    gone = maybe_broadcast(gone, gone.count())
     other = gone.filter(~F.col("_gid").eqNullSafe(F.col("_gkeep")))
     left = marked.join(other, on, "left_anti")
     # Rows that repeat both the id and the text of the row that stays: all but one go.

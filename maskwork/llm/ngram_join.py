@@ -11,7 +11,7 @@ below, and linked sets agree on at least t + 1 segments (pigeonhole). Each set d
 commonest segments, those with fewest tokens, in one order that all sets share; the rarest
 agreeing segment then stays on both sides. So each set publishes d + 1 keys and no link is lost.
 
-Keys travel as packed blobs, one per task and hash partition, and are sorted with numpy there.
+Keys travel as packed blobs (40 bits a key; a false meeting costs one verification), one per task and hash partition, and are sorted with numpy there.
 Of the sets under one key only a star is verified first, around the set that meets most others
 under all its keys (in a group of near copies, their common original): the work is linear in the
 group. Verified links make components; then only keys whose sets still lie in different
@@ -38,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import as_bytes, blobs, pieces
-from .common import cut, shuffle_partitions
+from .arrowtext import as_bytes, blobs, pieces, release
+from .common import bounded_batches, cut, maybe_broadcast, shuffle_partitions
 from .components import components
 
 SPARE = 0.25
@@ -158,9 +158,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts
         for p in range(parts):
             if len(o := order[cuts[p] : cuts[p + 1]]):
                 who, n = np.unique(owner[o], return_counts=True)
-                six = np.ascontiguousarray(keys[o]).view(np.uint8).reshape(-1, 8)[:, :6]
+                five = np.ascontiguousarray(keys[o]).view(np.uint8).reshape(-1, 8)[:, :5]
                 found.append(p)
-                packed.append(np.int64(len(who)).tobytes() + sigs[who].tobytes() + n.astype(np.uint32).tobytes() + six.tobytes())
+                packed.append(np.int64(len(who)).tobytes() + sigs[who].tobytes() + n.astype(np.uint32).tobytes() + five.tobytes())
         for i in range(0, len(found), 8):
             yield _rows(1, len(found[i : i + 8]), part=found[i : i + 8], blob=packed[i : i + 8])
 
@@ -182,6 +182,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts
             waiting = 0
     if held:
         yield from flush()
+    _hashes.clear()
+    release()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +195,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield docs
         for p, x in zip(*(b.filter(pa.array(kinds == 1)).column(c).to_pylist() for c in ("part", "blob"))):
             by_part.setdefault(p, []).append(x)
-    for held in by_part.values():
+    while by_part:
+        _, held = by_part.popitem()
         keys, who = [], []
         for x in held:
             n = int(np.frombuffer(x, np.int64, 1)[0])
             sigs, counts = np.frombuffer(x, np.int64, n, 8), np.frombuffer(x, np.uint32, n, 8 + 8 * n)
-            six = np.frombuffer(x, np.uint8, offset=8 + 12 * n).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
+            five = np.frombuffer(x, np.uint8, offset=8 + 12 * n).reshape(-1, 5)
+            wide = np.zeros((len(five), 8), np.uint8)
+            wide[:, :5] = five
             keys.append(wide.view(np.uint64).ravel())
             owner = np.repeat(np.arange(n), counts)
             who.append(sigs[owner])
@@ -234,6 +237,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = who[rows]
         for i in range(0, len(member), 1 << 16):
             yield _rows(3, len(member[i : i + (1 << 16)]), a=name[i : i + (1 << 16)], b=member[i : i + (1 << 16)])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -243,11 +247,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         hit = sig == b.column("sig").to_numpy()
         s = [x for x, y in zip(found, hit) if y]
         yield pa.RecordBatch.from_arrays([pa.array(sig[hit]), blobs([parity_bits(x) for x in s]), blobs([x.tobytes() for x in s])], names=["sig", "bits", "members"])
+    _hashes.clear()
+    release()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        left, right = (np.zeros(b.num_rows, bool),) * 2
         linked = []
         x, y = b.column("x"), b.column("y")
         for i in range(b.num_rows):
@@ -260,6 +265,7 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             common = int((both[1:] == both[:-1]).sum())
             linked.append(den * common >= num * (len(s) + len(t) - common))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(linked))
+    release()
 
 
 def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -303,8 +309,8 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
 def link_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_shingles, component_id. Links: den * intersection >= num * union."""
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
+    spark = bounded_batches(df).sparkSession
+    parts = max(1, shuffle_partitions(spark) // 2)  # a set's signature is sent to each part that it has keys in
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = slim.mapInArrow(partial(_sketch, k=k, num=num, den=den, parts=parts), OUT)
     met = cut(sketched.repartition(parts, "part").mapInArrow(_meet, OUT).drop("part", "blob"))
@@ -318,9 +324,9 @@ def link_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     stars = cut(met.filter("kind = 2").select("a", "b").unionByName(ordered).distinct())
 
     needed = stars.select(F.col("a").alias("sig")).union(stars.select("b")).distinct()
-    chosen = docs.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"), F.max("id").isNull().alias("no_id"))
-    at = chosen.select(F.col("id").alias("chosen_id"), "sig")
-    sets = slim.join(at, F.col("id").eqNullSafe(F.col("chosen_id"))).select("sig", "text").mapInArrow(partial(_sets, k=k), "sig long, bits binary, members binary")
+    chosen = docs.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
+    at = cut(chosen.select(F.col("id").alias("chosen_id"), "sig"))
+    sets = slim.join(maybe_broadcast(at, at.count()), F.col("id").eqNullSafe(F.col("chosen_id"))).select("sig", "text").mapInArrow(partial(_sets, k=k), "sig long, bits binary, members binary")
     sets = cut(sets.dropDuplicates(["sig"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -355,4 +361,4 @@ def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: s
     """df without the documents of a group other than its smallest id; all columns kept."""
     found = link_components(df, k, num, den, id_col, text_col)
     gone = cut(found.filter(f"not ({id_col} <=> component_id)").select(F.col(id_col).alias("_gone")).distinct())
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(maybe_broadcast(gone, gone.count()), F.col(id_col) == F.col("_gone"), "left_anti")
