@@ -18,29 +18,83 @@ ones too, is a document; an empty table gives a file without blocks. Extra colum
 from __future__ import annotations
 
 import os
-import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import blobs, lists, pieces
-from .common import cut, maybe_broadcast, shuffle_partitions
+from .arrowtext import as_bytes, blobs, pieces
+from .common import bounded_batches, cut, maybe_broadcast, shuffle_partitions
 
 END_ID = 0
 BLOCK_IDS = 1 << 18
-TABLE_LIMIT = 400_000
-#: Ordinary Latin text, where the word pattern below cuts just as the library does.
-UNUSUAL = r"[^\t\n\r -~ -ɏ]"
+TABLE_LIMIT = 600_000
+JOINED = 256
+#: Fixed value: the library's word pattern. On texts of the bytes below, `word_starts` finds the same words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+END, LETTER, DIGIT, SIGN, SPACE, ODD = 0, 1, 2, 3, 5, 255
+#: Kind of every byte; 4 is white space other than the space. Two-byte letters are U+00C0 to U+027F.
+KIND = np.full(256, ODD, np.uint8)
+KIND[33:127] = SIGN
+KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER
+KIND[48:58] = DIGIT
+KIND[[9, 10, 11, 12, 13]] = 4
+KIND[32] = SPACE
+KIND[0] = END
+KIND[ord("'")] = ODD
+MIX = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
 
-class Words(dict):
-    """word -> ids as bytes of uint16 or uint32. The library encodes each distinct word once."""
+
+def is_plain(raw: bytes) -> bool:
+    """Whether a text has only bytes whose words `word_starts` knows: no apostrophes, controls, or rarer characters."""
+    return not KINDS_ODD.intersection(raw) and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw
+
+
+KINDS_ODD = frozenset([0, *np.flatnonzero(KIND == ODD).tolist()])
+
+
+def word_starts(kind: np.ndarray) -> np.ndarray:
+    """Where words start in plain texts that each end with a zero byte, which is a word too.
+
+    A word is a run of letters, digits or signs with the single space before it; a run of white
+    space before a word gives its last character away, and is a word if anything is left.
+    """
+    run = np.minimum(kind, 4)
+    change = np.empty(len(run), bool)
+    change[0] = True
+    np.not_equal(run[1:], run[:-1], out=change[1:])
+    before = np.empty(len(run), np.uint8)
+    before[0], before[1:] = END, kind[:-1]
+    start = change & (before != SPACE)
+    start |= change & (run == 4)
+    start |= kind == END
+    last = change[1:] & (run[:-1] == 4) & (run[1:] != END)
+    start[:-1] |= last
+    return np.flatnonzero(start)
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2**64."""
+    forth, back = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    forth[0] = back[0] = 1
+    return np.cumprod(forth), np.cumprod(back)
+
+
+class Words:
+    """Ids of distinct words, by a 64-bit hash of their bytes; the library encodes each word once.
+
+    Words of letters are encoded many in one text with line ends between, which no such word
+    holds and which always are words of their own; the ids are cut at theirs.
+    """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,30 +103,79 @@ class Words(dict):
 
         self.lib = Tokenizer.from_file(tokenizer_file)
         self.lib.encode_special_tokens = True
-        self.findall, self.unusual = regex.compile(PATTERN).findall, re.compile(UNUSUAL).search
-        self.kind = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
-        probe = "A word's  two\n\n (so 12,x) café\t z "
-        self.safe = self.lib.encode(probe, add_special_tokens=False).ids == [i for w in self.findall(probe) for i in self.lib.encode(w, add_special_tokens=False).ids]
-        self.end = self.kind(END_ID).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > TABLE_LIMIT:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of text and the end id."""
-        if not self.safe or self.unusual(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
-        words = self.findall(text)
-        try:
-            return b"".join(map(self.__getitem__, words)) + self.end
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words)) + self.end
+        self.code = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.table: dict[int, bytes] = {}
+        probe = "A word's  two\n\n (so 12,x_) café\t z "
+        self.safe = self.plain(probe) == b"".join(map(self.plain, regex.findall(PATTERN, probe)))
+        gap = self.lib.encode("\n", add_special_tokens=False).ids
+        self.gap = gap[0] if len(gap) == 1 else None
+        self.end = array(self.code, [END_ID]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(words)
+        letters = [k for k, w in enumerate(words) if w.lstrip(" ").isalpha()] if self.gap is not None else []
+        for i in range(0, len(letters), JOINED * 64):
+            parts = [letters[j : j + JOINED] for j in range(i, min(i + JOINED * 64, len(letters)), JOINED)]
+            for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join(words[k] for k in p) for p in parts], add_special_tokens=False)):
+                raw = array(self.code, e.ids).tobytes()
+                cuts = (np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == self.gap) * self.width).tolist()
+                if len(cuts) != len(part) - 1:
+                    continue
+                at = 0
+                for k, cut in zip(part, [*cuts, len(raw)]):
+                    out[k] = raw[at:cut]
+                    at = cut + self.width
+        return [self.plain(w) if x is None else x for w, x in zip(words, out)]
+
+    def encode_plain(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts that each end with a zero byte, end ids included, and how many each has."""
+        data = np.frombuffer(raw, np.uint8)
+        kind = KIND[data]
+        starts = word_starts(kind)
+        forth, back = powers(1 << max(12, (len(data) - 1).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(MIX[data] * forth[: len(data)], out=sums[1:])
+        ends = np.append(starts[1:], len(data))
+        code = (sums[ends] - sums[starts]) * back[starts]
+        inverse, distinct = pd.factorize(code)
+        first = np.empty(len(distinct), np.int64)
+        first[inverse[::-1]] = np.arange(len(code) - 1, -1, -1)
+        keys = distinct.tolist()
+        found = list(map(self.table.get, keys))
+        new = [k for k, x in enumerate(found) if x is None]
+        if new:
+            if len(self.table) + len(new) > TABLE_LIMIT:
+                self.table.clear()
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            words = [raw[x:y] for x, y in zip(a, b)]
+            coded = self.encode_words([w.decode() for w in words])
+            for k, w, ids in zip(new, words, coded):
+                self.table[keys[k]] = found[k] = self.end if w == b"\0" else ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        flat = np.frombuffer(b"".join(found), f"<u{self.width}")
+        places = np.cumsum(sizes) - sizes
+        n = sizes[inverse]
+        total = np.cumsum(n)
+        ids = flat[np.repeat(places[inverse] - (total - n), n) + np.arange(total[-1])]
+        bounds = total[np.flatnonzero(data[starts] == 0)]
+        return ids, np.diff(bounds, prepend=0)
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of each UTF-8 text, and the end id."""
+        texts = [t or b"" for t in texts]
+        plain = [self.safe and is_plain(t) for t in texts]
+        out = [b"" if p else self.plain(t.decode()) + self.end for t, p in zip(texts, plain)]
+        if any(plain):
+            ids, sizes = self.encode_plain(b"".join(t + b"\0" for t, p in zip(texts, plain) if p))
+            raw, at = ids.tobytes(), 0
+            for k, n in zip([k for k, p in enumerate(plain) if p], (sizes * self.width).tolist()):
+                out[k] = raw[at : at + n]
+                at += n
+        return out
 
 
 @cache
@@ -80,17 +183,22 @@ def word_table(tokenizer_file: str) -> Words:
     return Words(tokenizer_file)
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer_file: str) -> Iterator[pa.RecordBatch]:
-    table = word_table(tokenizer_file)
-    for b in pieces(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column(0), blobs([table.encode(t or "") for t in b.column(1).to_pylist()])], names=["doc_id", "ids"])
+def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer_file: str, width: int, vocab: int) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id and ids, and at the end one row that counts the task's ids."""
+    table, total = word_table(tokenizer_file), np.zeros(vocab, np.int64)
+    names = ["doc_id", "ids", "counts"]
+    for b in pieces(batches, "text", 1 << 21):
+        ids = table.encode(as_bytes(b.column(1)))
+        total += np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=vocab)
+        yield pa.RecordBatch.from_arrays([b.column(0), blobs(ids), pa.nulls(len(ids), pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), blobs([total.tobytes()])], names=names)
 
 
-def _count(batches: Iterator[pa.RecordBatch], width: int, vocab: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], vocab: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(vocab, np.int64)
     for b in batches:
         for x in b.column(0).to_pylist():
-            total += np.bincount(np.frombuffer(x, f"<u{width}"), minlength=vocab)
+            total += np.frombuffer(x, np.int64)
     (at,) = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
@@ -182,14 +290,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def write_tokens(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text of df and write a token file to path."""
-    spark = df.sparkSession
+    spark = bounded_batches(df).sparkSession
     table = word_table(tokenizer_file)
-    width, vocab = np.dtype(table.kind).itemsize, table.lib.get_vocab_size() + 1
+    width, vocab = table.width, table.lib.get_vocab_size() + 1
     raw = f"{path}/raw"
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim.mapInArrow(partial(_tokenise, tokenizer_file=tokenizer_file), "doc_id long, ids binary").write.option("compression", "zstd").parquet(raw)
-    rows = spark.read.schema("doc_id long, ids binary").parquet(raw)
-    counted = rows.select("ids").mapInArrow(partial(_count, width=width, vocab=vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    slim.mapInArrow(partial(_tokenise, tokenizer_file=tokenizer_file, width=width, vocab=vocab), "doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(raw)
+    written = spark.read.schema("doc_id long, ids binary, counts binary").parquet(raw)
+    rows = written.filter("ids is not null").select("doc_id", "ids")
+    counted = written.filter("counts is not null").select("counts").mapInArrow(partial(_count, vocab=vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r.id for r in sorted(counted.collect(), key=lambda r: (-r.n, r.id))]  # at most one row per entry of the vocabulary
     ranks = np.array(order, "<u4").tobytes()
     spark.createDataFrame([(bytearray(ranks),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
