@@ -43,27 +43,18 @@ def draw(id_text: Column, shard: Shard) -> Column:
     return -F.log((bits + 0.5) / float(1 << 48)) / F.lit(float(shard.weight))
 
 
-def least(options: list[Column]) -> Column:
-    return options[0] if len(options) == 1 else F.least(*options)
+def descend(draws: dict[Shard, Column], leaves: list[Shard]) -> Column:
+    """The shard of the least draw, level by level; ties go to the smaller number.
 
-
-def descend(draws: dict[int, Column], leaves: list[Shard]) -> Column:
-    """Region, then rack, then shard of the least draw; ties go to the smaller number."""
-
-    def level(nodes: dict[int, Column], inner) -> Column:
-        best = least(list(nodes.values()))
-        out = None
-        for k, d in sorted(nodes.items()):
-            out = F.when(d == best, inner(k)) if out is None else out.when(d == best, inner(k))
-        return out
-
-    racks: dict[int, dict[int, list[Shard]]] = {}
+    A node's value is the least (draw, shard) of its children: the draw that it competes with,
+    and where the descent from it ends.
+    """
+    racks: dict[int, dict[int, list[Column]]] = {}
     for s in leaves:
-        racks.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
-    of_rack = {k: least([draws[s.shard] for s in v]) for r in racks.values() for k, v in r.items()}
-    of_region = {g: least([of_rack[k] for k in r]) for g, r in racks.items()}
-    in_rack = lambda g: lambda k: level({s.shard: draws[s.shard] for s in racks[g][k]}, F.lit)
-    return level(of_region, lambda g: level({k: of_rack[k] for k in racks[g]}, in_rack(g))).cast("int")
+        leaf = F.struct(draws[s].alias("draw"), F.lit(s.shard).alias("shard"))
+        racks.setdefault(s.region, {}).setdefault(s.rack, []).append(leaf)
+    regions = [F.array_min(F.array(*(F.array_min(F.array(*shards)) for shards in r.values()))) for r in racks.values()]
+    return F.array_min(F.array(*regions))["shard"]
 
 
 def assign(df: DataFrame, leaves: list[Shard], grown: list[Shard] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,9 +62,10 @@ def assign(df: DataFrame, leaves: list[Shard], grown: list[Shard] | None = None,
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     d = df.select(F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     d = d.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    every = {s.shard: s for s in [*leaves, *(grown or [])]}
-    d = d.select("*", *(draw(F.col("_id"), s).alias(f"_d{k}") for k, s in every.items()))
-    at = {k: F.col(f"_d{k}") for k in every}
+    names = {(s.shard, s.weight): f"_d{k}" for k, s in enumerate([*leaves, *(grown or [])])}
+    picked = {names[s.shard, s.weight]: s for s in [*leaves, *(grown or [])]}
+    d = d.select("*", *(draw(F.col("_id"), s).alias(n) for n, s in picked.items()))
+    at = {s: F.col(names[s.shard, s.weight]) for s in [*leaves, *(grown or [])]}
     d = d.select(id_col, "size", "text_crc32", descend(at, leaves).alias("shard"), (descend(at, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"), hash_order(F.col(id_col)).alias("_order"))
     rows = df.select(F.lit(1)).count()
     d = d.withColumn("_bucket", F.substring("_order", 1, bucket_digits(rows)))
