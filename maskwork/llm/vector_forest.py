@@ -14,7 +14,7 @@ MAX_LEAVES leaves. Every vector is routed and compared. Tests measure recall by
 
 Defined results: null, zero, empty and non-finite vectors, vectors with null components, and
 rows with null label or id link with nothing and are components of their own; vectors of
-different lengths are never compared; repeated rows are copies with similarity 1; an empty table
+different lengths are never compared (more than MAX_WIDTHS lengths are an error); repeated rows are copies with similarity 1; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 from .components import components, forest
 
 TREES = 8
@@ -36,6 +36,7 @@ SPILL = 0.12
 LEAF_ROWS = 4096
 SAMPLE_PER_LEAF = 64
 MAX_LEAVES = 4096
+MAX_WIDTHS = 1000
 BLOCK = 4096
 
 
@@ -155,13 +156,15 @@ def _compare(table: pa.Table, limit: float) -> pa.Table:
 
 def link(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = TREES, leaf_rows: int = LEAF_ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of df: id, n_links, component_id, kept."""
-    spark = df.sparkSession
+    spark = bounded_batches(df).sparkSession
     v = F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"), good.alias("good"))
     groups = rows.filter("good").groupBy("label", "v").agg(F.min("_id").alias("low"), F.count("*").alias("n"))
     nodes = cut(groups.withColumn("node", F.monotonically_increasing_id()))
-    sizes = nodes.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count")).limit(1_000).collect()
+    sizes = nodes.groupBy(F.size("v").alias("width")).count().limit(MAX_WIDTHS + 1).collect()
+    if len(sizes) > MAX_WIDTHS:
+        raise ValueError(f"more than {MAX_WIDTHS} lengths of vectors")
     parts = []
     for width, count in sizes:
         depth = min(MAX_LEAVES.bit_length() - 1, max(0, int(np.ceil(np.log2(count / leaf_rows)))))
