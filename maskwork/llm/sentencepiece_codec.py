@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .arrowtext import lists, pieces, release
 from .common import bounded_batches
 
-TABLE_LIMIT = 200_000
+TABLE_LIMIT = 150_000
 MARK = "▁"
 RUNS = re.compile(" +[^ ]*")
 
