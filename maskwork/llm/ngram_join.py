@@ -45,7 +45,7 @@ from .components import components
 SPARE = 0.25
 LEAST_BITS, MOST_BITS = 512, 1 << 14
 FLUSH_KEYS = 1 << 20
-BLOCK = 1024
+BLOCK = 512
 TABLE_LIMIT = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
