@@ -131,11 +131,11 @@ def test_numbers_and_addresses_grow():
     assert mended(text, [at(text, "06 12", "PHONE")]) == [("06 12 34 56 78", "NUMBER", True)]
     text = "12 34/5"
     assert mended(text, [at(text, "12", "PHONE")]) == [("12", "PHONE", True)]
-    text = "Flat 3, Park Road 12, Leeds LS1"
-    assert mended(text, [at(text, "Park Road 12", "ADDRESS")]) == [("Flat 3, Park Road 12, Leeds LS1", "ADDRESS", True)]
-    text = "12 Park Road\nLeeds LS1\nYorkshire 9"
+    text = "Flat 3, Park Road 12, Leeds LS"
+    assert mended(text, [at(text, "Park Road 12", "ADDRESS")]) == [("Flat 3, Park Road 12, Leeds LS", "ADDRESS", True)]
+    text = "12 Park Road\nLeeds West\nYorkshire 9"
     spans = [at(text, "12 Park Road", "ADDRESS"), at(text, "Yorkshire 9", "ADDRESS")]
-    assert ("Leeds LS1", "ADDRESS", True) in mended(text, spans)
+    assert ("Leeds West", "ADDRESS", True) in mended(text, spans)
 
 
 def test_overlapping_candidates_of_a_group_are_absorbed():
