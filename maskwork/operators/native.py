@@ -224,17 +224,20 @@ def dictionary_frame(df: DataFrame, terms: DataFrame, text_col: str = "text", te
 def list_frame(df: DataFrame, names: DataFrame, key: str, text_col: str = "text", most_words: int = 4) -> DataFrame:
     """Exact occurrences of names (name, kind), which are runs of up to most_words words.
 
-    Words meet the names' first words in an equi-join; only texts and places with a hit are cut
-    into runs, which meet the names in a second one.
+    The runs of every text meet the names in one equi-join; offsets are computed for hits only.
     """
     word = r"[\p{IsAlphabetic}\p{N}]+"
-    listed = names.select(F.col("name").alias("value"), "kind", F.regexp_extract("name", word, 0).alias("w"))
-    places = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(word), F.lit(0))).alias("i", "w"))
-    places = places.join(listed.select("w").distinct(), "w", "left_semi").select(F.col(key).alias("_key"), "i")
-    hits = df.select(key, F.col(text_col).alias("_t")).join(places, F.col(key) == F.col("_key"))
-    hits = hits.withColumn("m", F.regexp_extract_all("_t", F.lit(word), F.lit(0))).withColumn("g", F.split("_t", word, -1))
+    m, g = F.col("m"), F.col("g")
+    cut = lambda d: d.withColumn("m", F.regexp_extract_all(F.col(text_col), F.lit(word), F.lit(0))).withColumn("g", F.split(text_col, word, -1))
+
+    def runs(n: int):
+        parts = lambda i: [x for k in range(n) for x in ((F.get(g, i + k),) if k else ()) + (F.get(m, i + k),)]
+        every = F.transform(F.sequence(F.lit(0), F.size(m) - n), lambda i: F.struct(i.alias("i"), F.concat(*parts(i)).alias("value")))
+        return F.when(F.size(m) >= n, every).otherwise(F.array().cast("array<struct<i:int,value:string>>"))
+
+    found = cut(df.select(key, text_col)).select(F.col(key).alias("_key"), F.explode(F.concat(*(runs(n) for n in range(1, most_words + 1)))).alias("r"))
+    hits = found.select("_key", "r.i", "r.value").join(names.select(F.col("name").alias("value"), F.col("kind").alias("type")), "value")
     octets = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.octet_length(x))
-    hits = hits.withColumn("start", octets(F.slice("g", F.lit(1), F.col("i") + 1)) + octets(F.slice("m", F.lit(1), F.col("i")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("m") - F.col("i")))))
-    run = F.array_join(F.zip_with(F.slice("m", F.col("i") + 1, F.col("n")), F.concat(F.slice("g", F.col("i") + 2, F.col("n") - 1), F.array(F.lit(""))), lambda m, g: F.concat(m, g)), "")
-    hits = hits.select(key, "start", run.alias("value"))
-    return hits.join(listed.drop("w"), "value").select(key, F.col("kind").alias("type"), "value", "start", (F.col("start") + F.octet_length("value")).cast("int").alias("end"))
+    placed = cut(df.select(key, text_col).join(hits, F.col(key) == F.col("_key")))
+    start = octets(F.slice("g", F.lit(1), F.col("i") + 1)) + octets(F.slice("m", F.lit(1), F.col("i")))
+    return placed.select(key, "type", "value", start.alias("start"), (start + F.octet_length("value")).cast("int").alias("end"))
