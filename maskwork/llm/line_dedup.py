@@ -1,11 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Every line that is not blank is hashed (without surrounding white space). Two documents are
-candidates when they share a line of ANCHOR_WORDS words or more: each later holder of such a
-line is paired with its first holder, and, where the line is rare (at most RARE holders), also
-with the holder just before. That is at most two pairs per line, however many documents hold it,
-and every repeated line still meets its first holder. Candidates are aligned with patience diff,
-and aligned common blocks of MIN_WORDS words or more are deleted from the later document.
+Every line is hashed (without surrounding white space; blank lines are 0). Two documents are
+aligned with patience diff, gaps without unique lines by a longest common subsequence, and aligned
+common blocks of MIN_WORDS words or more are deleted from the later document. The result is that
+of aligning every document with every earlier one, of which most alignments need not be made:
+
+Candidates share a window: a run of lines that reaches MIN_WORDS words and doesn't without its
+last, or without its first line. Every line of an aligned block lies in such a window inside the
+block, so only lines in windows that an earlier document holds can go. Each document meets the
+first holder of each of its windows. Windows that still have lines left then meet further
+earlier holders, nearest first and GROWTH times as many in each round, until their lines are
+deleted or no earlier holder is left. Documents with the lines of an earlier one go whole and are
+nobody's candidate. `partners` are the documents met that had blocks deleted.
 
 The earlier document is that with the smaller id (null last), then the smaller text hash. Rows
 that repeat id and text are one document and are cut alike.
@@ -28,9 +34,10 @@ from pyspark.sql import functions as F
 from .arrowtext import as_bytes, lists, pieces
 from .common import bounded_batches, cut
 
-ANCHOR_WORDS = 3
 MIN_WORDS = 8
-RARE = 32
+GROWTH = 8
+LCS_BITS = 1 << 28
+BASE = 0x9E3779B97F4A7C15
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +74,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             right[b[k]] = -1 if b[k] in right else k
         unique = [(k, right[h]) for h, k in left.items() if h and k >= 0 and right.get(h, -1) >= 0]
         unique.sort()
-        anchors = rising(unique)
+        anchors = rising(unique) or [(i + x, j + y) for x, y in common(a[i:i2], b[j:j2])]
         p, q = i, j
         for x, y in [*anchors, (i2, j2)]:
             if (p, q, x, y) != (i, j, i2, j2) and p < x and q < y:
@@ -94,6 +101,49 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence without blank lines, bit-parallel."""
+    both = {h for h in a if h} & set(b)
+    left, right = ([k for k, h in enumerate(x) if h in both] for x in (a, b))
+    return [(left[i], right[j]) for i, j in _common([a[k] for k in left], [b[k] for k in right])] if both else []
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For every line of a, bits of b: 0 where the common subsequence grows."""
+    at: dict[int, int] = {}
+    for j, h in enumerate(b):
+        at[h] = at.get(h, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for h in a:
+        u = v & at.get(h, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits[: len(b)].astype(np.int64))])
+
+
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    if len(a) > 1 and len(a) * len(b) > LCS_BITS:  # halves of a, so that rows held stay bounded
+        half = len(a) // 2
+        at = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _common(a[:half], b[:at]) + [(half + i, at + j) for i, j in _common(a[half:], b[at:])]
+    rows, out, i, j = list(_rows(a, b)), [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
 def blocks(a: list[int], b: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
     """Lines of b in aligned common blocks of enough words."""
     out, run = [], []
@@ -116,22 +166,97 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(first, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["node", "first_id", "gone"])
 
 
+def windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first line, end and hash of every window of a batch with columns hashes and words; lines count over the batch."""
+    h, words = (b.column(c).flatten().to_numpy().astype(np.uint64 if c == "hashes" else np.int64) for c in ("hashes", "words"))
+    counts = np.diff(b.column("hashes").offsets.to_numpy())
+    row = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
+    total = np.concatenate([[0], np.cumsum(words)])
+    lines = np.arange(len(h))
+    to = np.searchsorted(total, total[:-1] + MIN_WORDS, "left")
+    since = np.searchsorted(total, total[1:] - MIN_WORDS, "right") - 1
+    fits, fits_back = to <= ends[row], since >= (ends - counts)[row]
+    span = np.unique(np.concatenate([np.stack([lines[fits], to[fits]], 1), np.stack([since[fits_back], lines[fits_back] + 1], 1)]), axis=0)
+    forth, back = np.full(len(h) + 1, BASE, np.uint64), np.full(len(h) + 1, pow(BASE, -1, 1 << 64), np.uint64)
+    forth[0] = back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(forth)[:-1], dtype=np.uint64)])
+    s, e = span[:, 0], span[:, 1]
+    key = (sums[e] - sums[s]) * np.cumprod(back)[s] + (e - s).astype(np.uint64) * np.uint64(BASE)
+    return row[s], s, e, key.view(np.int64)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of every document."""
+    for b in batches:
+        row, _, _, key = windows(b)
+        own = np.unique(np.stack([row, key], 1), axis=0)
+        if len(own):
+            got = b.select(["id", "sig", "node"]).take(pa.array(own[:, 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 1]), *got.columns], names=["w", "id", "sig", "node"])
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the windows asked, those that have lines left."""
+    for b in batches:
+        row, s, e, key = windows(b)
+        counts = np.diff(b.column("hashes").offsets.to_numpy())
+        starts = np.cumsum(counts) - counts
+        left = np.ones(int(counts.sum()), np.int64)
+        for at, gone in zip(starts.tolist(), b.column("gone").to_pylist()):
+            left[at + np.array(gone or [], np.int64)] = 0
+        total = np.concatenate([[0], np.cumsum(left)])
+        some = total[e] > total[s]
+        asked = [set(x) for x in b.column("asked").to_pylist()]
+        node = b.column("node").to_pylist()
+        found = {(node[r], k) for r, k in zip(row[some].tolist(), key[some].tolist()) if k in asked[r]}
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["node", "w"])
+
+
 def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All documents (node, id, sig, hashes, words) and those to cut (node, gone, partners)."""
+    """All documents (node, id, sig, hashes, words, seq) and those to cut (node, gone, partners)."""
     slim = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("text")).mapInArrow(_lines, "id long, sig long, hashes array<long>, words array<int>")
-    docs = cut(slim.dropDuplicates(["id", "sig"]).withColumn("node", F.monotonically_increasing_id()))
+    docs = cut(slim.dropDuplicates(["id", "sig"]).withColumn("node", F.monotonically_increasing_id()).withColumn("seq", F.xxhash64("hashes")))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("sig").alias("sig"), F.col("node").alias("node"))
-    held = docs.select(place.alias("place"), F.explode(F.arrays_zip("hashes", "words")).alias("l")).filter(f"l.words >= {ANCHOR_WORDS}").select(F.col("l.hashes").alias("h"), "place").distinct()
-    owners = held.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("df")).filter("df > 1")
-    shared = cut(held.join(owners, "h"))
-    pairs = shared.filter("place.node <> first.node").select(F.col("first.node").alias("a"), F.col("place.node").alias("b"))
-    before = F.lag("place").over(Window.partitionBy("h").orderBy("place"))
-    near = shared.filter(f"df <= {RARE}").select("place", before.alias("last")).filter("last is not null").select(F.col("last.node").alias("a"), F.col("place.node").alias("b"))
-    pairs = pairs.union(near).distinct()
+    heads = docs.filter(F.aggregate("words", F.lit(0).cast("long"), lambda a, n: a + n) >= MIN_WORDS).select("seq", place.alias("place"), F.size("hashes").alias("n"))
+    again = heads.groupBy("seq").agg(F.min("place").alias("first"), F.count("*").alias("df")).filter("df > 1")
+    copies = heads.join(again, "seq").filter("place.node <> first.node")
+    found = cut(copies.select(F.col("place.node").alias("node"), F.col("first.id").alias("first_id"), F.sequence(F.lit(0), F.col("n") - 1).alias("gone")))
+
+    alone = docs.join(found.select("node"), "node", "left_anti").select("node", "id", "sig", "hashes", "words")
+    held = alone.mapInArrow(_held, "w long, id long, sig long, node long").select("w", place.alias("place"))
+    owners = held.groupBy("w").agg(F.min("place").alias("first"), F.count("*").alias("df")).filter("df > 1")
+    shared = cut(held.join(owners, "w").select("w", "place", F.col("first.node").alias("first")))
     lines = docs.select(F.col("node").alias("b"), F.col("hashes").alias("q"), "words")
     first = docs.select(F.col("node").alias("a"), F.col("id").alias("first_id"), F.col("hashes").alias("p"))
-    aligned = pairs.join(first, "a").join(lines, "b").select(F.col("b").alias("later"), "first_id", "p", "q", "words").mapInArrow(_align, "node long, first_id long, gone array<int>")
-    gone = aligned.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("first_id")).alias("partners"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(first, "a").join(lines, "b")
+        return cut(both.select(F.col("b").alias("later"), "first_id", "p", "q", "words").mapInArrow(_align, "node long, first_id long, gone array<int>"))
+
+    def left(cases: DataFrame) -> DataFrame:
+        asked = cases.groupBy("node").agg(F.collect_set("w").alias("asked"))
+        gone = found.groupBy("node").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        return cut(alone.join(asked, "node").join(gone, "node", "left").select("node", "hashes", "words", "asked", "gone").mapInArrow(_left, "node long, w long"))
+
+    later = shared.filter("place.node <> first").select("w", F.col("place.node").alias("node"), "first")
+    found = found.unionByName(aligned(later.select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    rest = left(later.select("w", "node"))
+    if not rest.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("w").orderBy("place")) - 1
+        holders = cut(shared.join(rest.select("w").distinct(), "w", "left_semi").select("w", F.col("place.node").alias("a"), rank.alias("k")))
+        own = holders.select("w", F.col("a").alias("node"), F.col("k").alias("own"))
+        near, far = 1, 1
+        while not (cases := cut(rest.join(own, ["w", "node"]).filter(F.col("own") > near))).isEmpty():  # holder 0 is met
+            size = far - near + 1
+            reach = F.sequence(F.floor(F.greatest(F.lit(1), F.col("own") - far) / size), F.floor((F.col("own") - near) / size))
+            asking = cases.withColumn("part", F.explode(reach)).withColumnRenamed("node", "b")
+            met = asking.join(holders.withColumn("part", F.floor(F.col("k") / size)), ["w", "part"]).filter(F.col("k") > 0).filter((F.col("own") - F.col("k")).between(near, far))
+            found = found.unionByName(aligned(met.select("a", "b")))
+            near, far = far + 1, far * GROWTH
+            rest = left(cases.filter(F.col("own") > near).select("w", "node"))
+    gone = found.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("first_id")).alias("partners"))
     return docs, cut(gone)
 
 

@@ -176,6 +176,63 @@ def test_common_lines_meet_their_first_holder_only(spark):
     assert sorted(r.doc_id for r in got if r.n_removed) == list(range(1, 80)) and all(0 in r.partners for r in got if r.n_removed)
 
 
+def lines_by_brute_force(rows):
+    """Lines that go from each document, aligned with every earlier one."""
+    import xxhash
+
+    own = []
+    for _, t in rows:
+        split = (t or "").encode().split(b"\n")
+        own.append(([xxhash.xxh3_64_intdigest(x.strip()) >> 1 if x.strip() else 0 for x in split], [len(x.split()) for x in split]))
+    return {rows[j][0]: set().union(*(line_dedup.blocks(own[i][0], *own[j]) for i in range(j))) for j in range(len(rows))}
+
+
+def long_line(k):
+    return f"line number {k} " + "with more words than eight in it"
+
+
+def crossed_lines():
+    """Hot lines in other orders than the first holder's, or repeated by it; blocks of short lines."""
+    a, b = long_line("a"), long_line("b")
+    rows = [(0, f"{a}\n{b}\nthree short words\nfirst"), (1, f"{b}\n{b}\nmiddle\n{b}\nfour very short words")]
+    for k in range(2, 60):
+        own = long_line(f"of {k} only")
+        tail = ["three short words\nfour very short words\ntwo words", "two words", ""][k % 3]
+        rows.append((k, "\n".join([f"{a}\n{own}\n{b}", f"{b}\n{own}\n{a}", f"{own}\n{b}\n{tail}\n\n{a}\n{b}", f"{own}\n{tail}"][k % 4 :][:1])))
+    return rows
+
+
+def shuffled_lines(seed, n):
+    rng = random.Random(seed)
+    pool = [long_line(k) for k in range(5)] + [f"s{k} s s" for k in range(4)] + ["one", "two words", "", "", "four words of five"]
+    return [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for k in range(n)]
+
+
+@pytest.mark.parametrize("rows", [crossed_lines(), shuffled_lines(1, 90), shuffled_lines(2, 90)])
+def test_lines_match_brute_force_over_all_pairs(spark, rows):
+    want = lines_by_brute_force(rows)
+    got = line_dedup.report(frame(spark, rows).repartition(5)).collect()
+    for r in got:
+        kept = [x for k, x in enumerate(dict(rows)[r.doc_id].split("\n")) if k not in want[r.doc_id]]
+        assert (r.text, r.n_removed) == ("\n".join(kept), len(want[r.doc_id])), r.doc_id
+
+
+def test_common_subsequence(monkeypatch):
+    rng = random.Random(5)
+    for bits in (1 << 28, 20):
+        monkeypatch.setattr(line_dedup, "LCS_BITS", bits)
+        for _ in range(100):
+            a, b = ([rng.randrange(1, 6) for _ in range(rng.randrange(14))] for _ in "ab")
+            got = line_dedup.common(a, b)
+            size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+            assert len(got) == size[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+    assert line_dedup.blocks([1, 2, 1], [3, 1], [9, 9]) == [1]
+
+
 def vectors(seed, n, width=24):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((n // 6, width))
