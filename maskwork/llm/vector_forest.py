@@ -2,8 +2,10 @@
 
 Equal vectors of a label are one node with a count. TREES trees are fitted on a bounded sample:
 every split projects on a random direction and cuts at the sample's median; what lies within
-SPILL of it (as a share of the sample, to either side) goes to both children. All vectors are
-routed to their leaves; inside each (label, tree, leaf) vectors are compared by matrix products
+SPILL link distances of it goes to both children. The projections of two linked vectors differ
+by a normal variate of at most a link distance, however deep the node and however tight its
+group, so few pairs are parted at a level. A node whose children would cost as much to compare
+as itself (a tight group) is not split. All vectors are routed to their leaves; inside each (label, tree, leaf) vectors are compared by matrix products
 in double precision. A pair that meets in several leaves is counted in the first of them only,
 which both sides can tell from their leaf lists, so that counts and a union-find forest leave
 each leaf, never pairs. A leaf with more than BLOCK vectors is compared in blocks: an exact way,
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut
 from .components import components, forest
 
-TREES = 8
-SPILL = 0.12
+TREES = 6
+SPILL = 0.75
 LEAF_ROWS = 4096
 SAMPLE_PER_LEAF = 64
 MAX_LEAVES = 4096
@@ -40,16 +42,26 @@ MAX_WIDTHS = 1000
 BLOCK = 4096
 
 
-def fit_tree(sample: np.ndarray, depth: int, seed: int, spill: float = SPILL) -> dict[int, tuple[float, float]]:
-    """Low and high cut of every node; node 1 is the root, 2n and 2n + 1 the children of n."""
+def reach(threshold: float) -> float:
+    """Half the width of the band that goes to both children; links are at most sqrt(2 - 2 threshold) apart."""
+    return SPILL * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+
+def fit_tree(sample: np.ndarray, depth: int, seed: int, band: float) -> dict[int, tuple[float, float]]:
+    """Low and high cut of every node that is split; node 1 is the root, 2n and 2n + 1 the children of n."""
     cuts, at = {}, {1: sample}
     for _ in range(depth):
         below = {}
         for node, rows in at.items():
+            if not len(rows):
+                continue
             p = rows @ direction(seed, node, sample.shape[1])
-            lo, hi = np.quantile(p, [0.5 - spill, 0.5 + spill]) if len(p) else (0.0, 0.0)
+            lo, hi = np.median(p) - band, np.median(p) + band
+            left, right = p <= hi, p >= lo
+            if left.mean() ** 2 + right.mean() ** 2 >= 1:
+                continue
             cuts[node] = (float(lo), float(hi))
-            below[2 * node], below[2 * node + 1] = rows[p <= hi], rows[p >= lo]
+            below[2 * node], below[2 * node + 1] = rows[left], rows[right]
         at = below
     return cuts
 
@@ -60,16 +72,20 @@ def direction(seed: int, node: int, width: int) -> np.ndarray:
 
 def leaves(rows: np.ndarray, cuts: dict[int, tuple[float, float]], depth: int, seed: int) -> list[list[int]]:
     """The leaves of every row, ascending."""
-    at = {1: np.arange(len(rows))}
+    at, ends = {1: np.arange(len(rows))}, {}
     for _ in range(depth):
         below = {}
         for node, i in at.items():
+            if node not in cuts:
+                ends[node] = i
+                continue
             lo, hi = cuts[node]
             p = rows[i] @ direction(seed, node, rows.shape[1])
             below[2 * node], below[2 * node + 1] = i[p <= hi], i[p >= lo]
         at = below
+    ends |= at
     out: list[list[int]] = [[] for _ in rows]
-    for node, i in sorted(at.items()):
+    for node, i in sorted(ends.items()):
         for k in i.tolist():
             out[k].append(node)
     return out
@@ -172,7 +188,7 @@ def link(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_
         own = nodes.filter(F.size("v") == width)
         picked = own.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("v").toArrow() if depth else None
         sample = unit(np.stack(picked.column("v").to_numpy())) if depth and picked.num_rows else np.zeros((0, width))
-        fitted = [fit_tree(sample, depth, t) for t in range(trees if depth else 1)]
+        fitted = [fit_tree(sample, depth, t, reach(threshold)) for t in range(trees if depth else 1)]
         model = spark.sparkContext.broadcast((depth, width, fitted))  # two numbers for each of at most MAX_LEAVES nodes a tree
         label = nodes.schema["label"].dataType.simpleString()
         kind = nodes.schema["v"].dataType.simpleString()

@@ -276,6 +276,30 @@ def test_forest_against_brute_force(spark, options):
             assert got[i].component_id == a
 
 
+@pytest.mark.parametrize("depth", [10, 12])
+@pytest.mark.parametrize("noise", [0.02, 0.033, 0.05])
+def test_forest_recall_does_not_fall_with_depth(depth, noise):
+    rng = np.random.default_rng(depth)
+    rows = rng.standard_normal((1 << 16, 64))
+    group = len(rows) // 3
+    rows = vector_forest.unit(rows)
+    rows[:group] = rows[0] + noise * rng.standard_normal((group, 64))
+    rows = vector_forest.unit(rows)
+    some = rows[:1000]
+    want = np.triu(some @ some.T >= 0.93, 1)
+    met = np.zeros_like(want)
+    for t in range(vector_forest.TREES):
+        own = vector_forest.leaves(some, vector_forest.fit_tree(rows, depth, t, vector_forest.reach(0.93)), depth, t)
+        held = defaultdict(list)
+        for k, at in enumerate(own):
+            for x in at:
+                held[x].append(k)
+        for x in held.values():
+            met[np.ix_(x, x)] = True
+    assert want.sum() > 100
+    assert (met & want).sum() >= 0.999 * want.sum()
+
+
 def test_forest_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [], 1), (12, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1), (13, [1e-30, 0.0], 1)]
