@@ -33,7 +33,7 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ranked_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.shared_path(spark, "tokens")
-    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(TOKENIZER))
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(TOKENIZER), literal=False)
     ids = F.col("ids_le")
     return tokenfile.read_tokens(spark, path).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
 

@@ -13,6 +13,8 @@ first), rows of one id by the hash of their ids.
 
 Defined results: null text counts as empty and is coded as the end id alone; every row, repeated
 ones too, is a document; an empty table gives a file without blocks. Extra columns are ignored.
+The literal of an added token (such as <|endoftext|>) in a text is coded as the words it is made
+of, or, with literal=False, as that token: the library's own default.
 """
 
 from __future__ import annotations
@@ -96,13 +98,14 @@ class Words:
     holds and which always are words of their own; the ids are cut at theirs.
     """
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, literal: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(tokenizer_file)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = literal
+        self.added = [] if literal else [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.code = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.table: dict[int, bytes] = {}
@@ -167,7 +170,7 @@ class Words:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each UTF-8 text, and the end id."""
         texts = [t or b"" for t in texts]
-        plain = [self.safe and is_plain(t) for t in texts]
+        plain = [self.safe and is_plain(t) and not any(x in t for x in self.added) for t in texts]
         out = [b"" if p else self.plain(t.decode()) + self.end for t, p in zip(texts, plain)]
         if any(plain):
             ids, sizes = self.encode_plain(b"".join(t + b"\0" for t, p in zip(texts, plain) if p))
@@ -179,13 +182,13 @@ class Words:
 
 
 @cache
-def word_table(tokenizer_file: str) -> Words:
-    return Words(tokenizer_file)
+def word_table(tokenizer_file: str, literal: bool) -> Words:
+    return Words(tokenizer_file, literal)
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer_file: str, width: int, vocab: int) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer_file: str, literal: bool, width: int, vocab: int) -> Iterator[pa.RecordBatch]:
     """Rows of doc_id and ids, and at the end one row that counts the task's ids."""
-    table, total = word_table(tokenizer_file), np.zeros(vocab, np.int64)
+    table, total = word_table(tokenizer_file, literal), np.zeros(vocab, np.int64)
     names = ["doc_id", "ids", "counts"]
     for b in pieces(batches, "text", 1 << 21):
         ids = table.encode(as_bytes(b.column(1)))
@@ -288,14 +291,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", literal: bool = True) -> None:
     """Encode every text of df and write a token file to path."""
     spark = bounded_batches(df).sparkSession
-    table = word_table(tokenizer_file)
+    table = word_table(tokenizer_file, literal)
     width, vocab = table.width, table.lib.get_vocab_size() + 1
     raw = f"{path}/raw"
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim.mapInArrow(partial(_tokenise, tokenizer_file=tokenizer_file, width=width, vocab=vocab), "doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(raw)
+    slim.mapInArrow(partial(_tokenise, tokenizer_file=tokenizer_file, literal=literal, width=width, vocab=vocab), "doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(raw)
     written = spark.read.schema("doc_id long, ids binary, counts binary").parquet(raw)
     rows = written.filter("ids is not null").select("doc_id", "ids")
     counted = written.filter("counts is not null").select("counts").mapInArrow(partial(_count, vocab=vocab), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))

@@ -66,6 +66,19 @@ def test_token_file_round_trip(spark, texts, monkeypatch):
     tokenfile.remove(spark, path)
 
 
+def test_token_query_is_the_library_by_default(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.vocabulary(queries.TOKENIZER))
+    rows = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext| > y", "it's <|endoftext|>", "plain words", "", None]
+    frame(spark, [(i, t, "s") for i, t in enumerate(rows)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op3_ranked_token_file(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(rows):
+        want = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (len(want), zlib.crc32(np.array(want, "<u4").tobytes())), t
+    assert got[0][0] == 5
+
+
 def test_empty_token_file(spark):
     path = tokenfile.shared_path(spark, "test")
     tokenfile.write_tokens(frame(spark, []), path, queries.vocabulary(queries.TOKENIZER))
