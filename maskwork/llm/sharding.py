@@ -3,7 +3,8 @@
 Law `key`: the document's id and the shard count alone decide. Every shard draws an exponential
 variate -ln(u)/weight from the hash of (shard, id); the draw of a rack is the least draw of its
 shards and that of a region the least of its racks, which has the distribution of one draw with
-the summed weight. Descending to the least draw at region, rack and shard level picks a shard in
+the summed weight. Regions and racks draw nothing of their own, so the descent ends at the least
+draw of all shards: the result is that of flat weighted rendezvous hashing. It picks a shard in
 proportion to its weight, and when weights change, draws of other subtrees stay what they were:
 documents move only out of subtrees that got lighter and into ones that got heavier. One more
 shard therefore takes rows only into itself.
