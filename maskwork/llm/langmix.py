@@ -3,8 +3,9 @@
 Training counts hashed byte trigrams (lower case, white space, digits and ASCII punctuation as
 spaces) per language over all training rows. For a document, every word gets a likelihood under
 every language; expectation-maximisation estimates the document's language proportions. The
-language set is chosen by penalised likelihood: the best 1, 2 or 3 languages are each refitted,
-and the set with the largest log-likelihood minus PENALTY * size * log(words) wins. The predicted
+language set is chosen by penalised likelihood: the best 1, 2, 3 and so on languages are each
+refitted, and the set with the largest log-likelihood minus PENALTY * size * log(words) wins. From
+size TRIED on, a document stops at the first size that is no better. The predicted
 language has the largest proportion in that set, and the proportion is the score.
 
 The model holds BUCKETS + 1 floats a language, for at most MAX_LANGUAGES languages, so its size
@@ -34,6 +35,7 @@ BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
 ROUNDS = 8
 PENALTY = 2.0
+TRIED = 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[:128] = [ord(chr(i).lower()) if chr(i).isalpha() else 32 for i in range(128)]
@@ -111,13 +113,21 @@ def proportions(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
     every, _ = _fit(like, owner, first, n, np.ones((len(live), langs)))
     ranking = np.argsort(-every, axis=1, kind="stable")
     best, best_value = np.zeros_like(every), np.full(len(live), -np.inf)
-    for size in range(1, min(3, langs) + 1):
-        allowed = np.zeros_like(every)
-        np.put_along_axis(allowed, ranking[:, :size], 1.0, axis=1)
+    at = np.arange(len(live))
+    for size in range(1, langs + 1):
+        allowed = np.zeros((len(at), langs))
+        np.put_along_axis(allowed, ranking[at, :size], 1.0, axis=1)
         share, value = _fit(like, owner, first, n, allowed)
         value -= PENALTY * size * np.log(n + 1)
-        better = value > best_value
-        best[better], best_value[better] = share[better], value[better]
+        better = value > best_value[at]
+        best[at[better]], best_value[at[better]] = share[better], value[better]
+        if size < TRIED:
+            continue
+        if not better.any():
+            break
+        if not better.all():
+            like, at, n = like[np.repeat(better, n)], at[better], n[better]
+            owner, first = np.repeat(np.arange(len(at)), n), np.concatenate([[0], np.cumsum(n)[:-1]])
     out[live] = best
     return out
 

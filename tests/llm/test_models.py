@@ -114,6 +114,20 @@ def test_language_mixture(spark):
     assert got[3] == got[4] == got[5] == ("und", 0.0) and got[6] == ("de", 1.0) and got[7][0] == "en" and got[8][0] != "und"
 
 
+def test_mixtures_of_more_than_three_languages():
+    rng = random.Random(6)
+    langs = [[f"{c}{a}{b}{c}" for a in "aeiou" for b in "xyz"] for c in "bdfghk"]
+    code = [langmix._grams([" ".join(x).encode()])[0] for x in langs]
+    counts = np.stack([np.bincount(c, minlength=langmix.BUCKETS + 1)[: langmix.BUCKETS] for c in code], 1) + 0.5
+    table = np.vstack([np.log(counts / counts.sum(0)), np.zeros(len(langs))]).astype(np.float32)
+    texts = [" ".join(rng.choice(langs[k]) for _ in range(100) for k in range(size)).encode() for size in range(1, 7)]
+    share = langmix.proportions([*texts, b""], table)
+    for size, row in enumerate(share[:-1], 1):
+        assert np.allclose(row[:size], 1 / size, atol=0.05) and (row[size:] == 0).all(), size
+    assert not share[-1].any()
+    assert np.allclose(share[:-1], np.vstack([langmix.proportions([t], table) for t in texts]))
+
+
 def test_language_model_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langmix.train(empty)[0] == []
