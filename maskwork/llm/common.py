@@ -17,15 +17,20 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local master may do without, with a temporary folder."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,13 +48,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 def packed(df: DataFrame, *keys: str) -> DataFrame:
     """keys and, in the struct _row, all columns of df: other columns then clash with nothing."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *keys)
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(F.col(f"`{k}`") for k in keys))
 
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+def kept(df: DataFrame, *new: str) -> list[Column]:
+    """The columns of a packed frame's _row, without those that `new` ones replace."""
+    return [F.col(f"_row.`{f.name}`") for f in df.schema["_row"].dataType.fields if f.name not in new]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,6 +69,46 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def hot_keys(counts: DataFrame, column: str, total: int) -> DataFrame:
+    """The keys of counts that hold more than a partition's share of total rows: fewer than there are shuffle partitions."""
+    return counts.filter(F.col(column) > total / shuffle_partitions(counts.sparkSession))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Left join with right, unique by keys and without nulls there; rows of hot keys don't meet in one task.
+
+    hot has some rows of right, no more than shuffle partitions (`hot_keys`), and is broadcast.
+    Rows that it serves go to the shuffled join under salts, where they find nothing.
+    """
+    values = [c for c in right.columns if c not in keys]
+    n = shuffle_partitions(left.sparkSession)
+    served = F.broadcast(hot.select(*keys, F.struct(*values).alias("_hot")))
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(n))).cast("int")
+    left = left.join(served, keys, "left").withColumn("_salt", salt)
+    right = right.select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    out = left.join(right, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return out.select(*(c for c in out.columns if c not in ("_hot", "_cold", "_salt", "_found")), *(F.col(f"_found.{c}").alias(c) for c in values))
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df without the rows named in gone (id, key of the text, whole); all columns kept.
+
+    Where `whole` is false, one of the rows that repeat the id and the text stays.
+    """
+    d = packed(df).withColumn("_id", F.col(f"_row.`{id_col}`")).withColumn("_key", text_key(F.col(f"_row.`{text_col}`")))
+    named = maybe_broadcast(gone.select(F.col("id").alias("_gid"), F.col("key").alias("_gkey"), "whole"), gone.count())
+    marked = d.join(named, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
+    stay = marked.filter("whole is null")
+    if not gone.filter("not whole").isEmpty():
+        stay = stay.unionByName(marked.filter("not whole").dropDuplicates(["_id", "_key"]))
+    return unpacked(stay)
+
+
 def words_of(text: Column) -> Column:
     """Number of words of text; null has none."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("long")

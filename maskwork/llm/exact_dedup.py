@@ -7,9 +7,13 @@ goes to r >> ROUND_BITS) and are merged by a sort aggregate on (run, digest); th
 arrives once per run. Digests are verified by length and by a second, independent hash: rows
 whose SHA-256 is equal but whose verifiers differ stay apart.
 
-Defined results: null text counts as empty; all empty texts are one group. Of equal texts the
+A digest with more rows than a partition's share is joined back by broadcast (no more of them than
+partitions), so that its rows don't meet in one task.
+
+Defined results: null text counts as empty; very long texts are hashed whole; all empty texts are one group. Of equal texts the
 row with most code points in the original text stays, then the smallest id (null last), then
-the earliest repeated row. Empty tables give no rows. Extra columns are ignored by
+the smallest hash of the original text, then the earliest repeated row; rows are told apart by id
+and text, so exactly one row of a group stays whatever ids repeat. Empty tables give no rows. Extra columns are ignored by
 `duplicate_groups` and kept by `drop_duplicates`.
 """
 
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut, maybe_broadcast
+from .common import ASCII_SPACE, cut, hot_keys, spread_join, text_key, without_rows
 
 ROUND_BITS = 4
 KEY = ["_sha", "_bytes", "_check"]
@@ -29,17 +33,18 @@ def normalised(text):
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Slim rows: id, code points of the original, SHA-256 of the normalised text and two verifiers."""
+    """Slim rows: id, code points and key of the original, SHA-256 of the normalised text and two verifiers."""
+    text = F.col(f"`{text_col}`")
     return (
-        df.select(F.col(id_col).alias("_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("_len"), normalised(F.col(text_col)).alias("_norm"))
-        .select("_id", "_len", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"), F.octet_length("_norm").alias("_bytes"), F.xxhash64("_norm").alias("_check"))
+        df.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.length(text), F.lit(0)).alias("_len"), text_key(text).alias("_key"), normalised(text).alias("_norm"))
+        .select("_id", "_len", "_key", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"), F.octet_length("_norm").alias("_bytes"), F.xxhash64("_norm").alias("_check"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
 
 
 def tree_merge(rows: DataFrame, runs: int) -> DataFrame:
     """KEY, best (the row that stays) and n, from slim rows whose column _run numbers their run."""
-    best = F.struct((-F.col("_len")).alias("len"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    best = F.struct((-F.col("_len")).alias("len"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("_row").alias("row"))
     merged = rows.groupBy("_run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("n"))
     while runs > 1:
         runs = (runs + (1 << ROUND_BITS) - 1) >> ROUND_BITS
@@ -47,13 +52,18 @@ def tree_merge(rows: DataFrame, runs: int) -> DataFrame:
     return merged.drop("_run")
 
 
-def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, keep_id, group_size, kept, text_sha256."""
+def decided(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The slim rows with best and n of their group; both null for a row without a copy."""
     slim = cut(digests(df, id_col, text_col))
     runs = max(1, slim.rdd.getNumPartitions())
     merged = tree_merge(slim.withColumn("_run", F.spark_partition_id()), runs)
     groups = cut(merged.filter("n > 1"))  # a row without a copy needs no partner
-    return slim.join(groups, KEY, "left").select(
+    return spread_join(slim, groups, KEY, hot_keys(groups, "n", slim.count()))
+
+
+def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, keep_id, group_size, kept, text_sha256."""
+    return decided(df, id_col, text_col).select(
         F.col("_id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
@@ -64,16 +74,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without its dropped rows, all columns kept."""
-    decided = duplicate_groups(df, id_col, text_col)
-    gone = cut(decided.filter("not kept").groupBy(F.col(id_col).alias("_gid"), F.col("text_sha256").alias("_gsha")).agg(F.first("keep_id").alias("_gkeep")))
-    marked = df.withColumn("_gsha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    on = F.col(id_col).eqNullSafe(F.col("_gid")) & (marked["_gsha"] == gone["_gsha"])
-    gone = maybe_broadcast(gone, gone.count())
-    other = gone.filter(~F.col("_gid").eqNullSafe(F.col("_gkeep")))
-    left = marked.join(other, on, "left_anti")
-    # Rows that repeat both the id and the text of the row that stays: all but one go.
-    again = gone.filter(F.col("_gid").eqNullSafe(F.col("_gkeep")))
-    if again.isEmpty():
-        return left.drop("_gsha")
-    hit = left.join(again, on, "left_semi").dropDuplicates([id_col, "_gsha"])
-    return left.join(again, on, "left_anti").unionByName(hit).drop("_gsha")
+    dropped = decided(df, id_col, text_col).filter("n is not null and best.row <> _row")
+    other = ~(F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_key") == F.col("best.key")))
+    gone = cut(dropped.select(F.col("_id").alias("id"), F.col("_key").alias("key"), other.alias("whole")).distinct())
+    return without_rows(df, gone, id_col, text_col)
