@@ -23,8 +23,9 @@ Verification intersects the whole hash sets.
 
 Defined results: null and empty texts have an empty set, no links and themselves as component;
 with fewer words than a shingle, the whole word sequence is the one member; repeated rows are
-copies of one node (component_id: smallest id, null ids only where no other is there); an empty
-table gives no rows; extra columns are ignored.
+copies of one node (component_id: smallest id, null ids only where no other is there); very long
+texts are hashed whole; an empty table gives no rows; extra columns are ignored by
+`link_components` and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import as_bytes, blobs, pieces, release
-from .common import bounded_batches, cut, maybe_broadcast, shuffle_partitions
+from .common import bounded_batches, cut, hot_keys, maybe_broadcast, shuffle_partitions, spread_join, text_key, without_rows
 from .components import components
 
 SPARE = 0.25
@@ -133,17 +134,17 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return x
 
 
-OUT = "kind int, id long, a long, b long, part int, blob binary"
+OUT = "kind int, id long, key long, a long, b long, part int, blob binary"
 
 
 def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-    nulls = {"id": pa.int64(), "a": pa.int64(), "b": pa.int64(), "part": pa.int32(), "blob": pa.binary()}
+    nulls = {"id": pa.int64(), "key": pa.int64(), "a": pa.int64(), "b": pa.int64(), "part": pa.int32(), "blob": pa.binary()}
     arrays = [pa.array(columns[k], type=t) if k in columns else pa.nulls(n, t) for k, t in nulls.items()]
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *arrays], names=["kind", *nulls])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document's id, set size (a) and signature (b). Kind 1: a blob of keys for one part."""
+    """Kind 0: a document's id, key, set size (a) and signature (b). Kind 1: a blob of keys for one part."""
     held: dict[int, np.ndarray] = {}
     waiting = 0
 
@@ -175,7 +176,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts
                 held[int(sig)] = keys = scheme_keys(s, num, den)
                 waiting += len(keys)
         where = xxhash.xxh32_intdigest(np.int64(sigs[0]).tobytes())
-        yield _rows(0, b.num_rows, id=ids, a=np.array(sizes, np.int64), b=np.array(sigs, np.int64), part=(np.arange(b.num_rows, dtype=np.int64) + where) % parts)
+        yield _rows(0, b.num_rows, id=ids, key=b.column("key"), a=np.array(sizes, np.int64), b=np.array(sigs, np.int64), part=(np.arange(b.num_rows, dtype=np.int64) + where) % parts)
         if waiting >= FLUSH_KEYS:
             yield from flush()
             held.clear()
@@ -307,14 +308,15 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         yield from pairs(held)
 
 
-def link_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id. Links: den * intersection >= num * union."""
+def linked(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of df: id, key (`text_key`), n_shingles and component, a number that linked rows share."""
     spark = bounded_batches(df).sparkSession
     parts = max(1, shuffle_partitions(spark) // 2)  # a set's signature is sent to each part that it has keys in
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`")
+    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
     sketched = slim.mapInArrow(partial(_sketch, k=k, num=num, den=den, parts=parts), OUT)
     met = cut(sketched.repartition(parts, "part").mapInArrow(_meet, OUT).drop("part", "blob"))
-    docs = met.filter("kind = 0").select("id", F.col("a").alias("n_shingles"), F.col("b").alias("sig"))
+    docs = met.filter("kind = 0").select("id", "key", F.col("a").alias("n_shingles"), F.col("b").alias("sig"))
     members = cut(met.filter("kind = 3").select(F.col("a").alias("bucket"), F.col("b").alias("sig")).distinct())
     sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket")
     busy = members.join(sized.groupBy("sig").agg(F.sum("rows").alias("met")), "sig")
@@ -350,15 +352,29 @@ def link_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
         edges = edges.unionByName(verified(crossed))
         comps = components(edges)
     nodes = docs.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    nodes = cut(nodes)
-    names = cut(nodes.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id")))
-    out = nodes.join(names, "component", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return cut(nodes.select("id", "key", "n_shingles", "component"))
+
+
+def link_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, n_shingles, component_id. Links: den * intersection >= num * union."""
+    nodes = linked(df, k, num, den, id_col, text_col)
+    groups = nodes.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("rows"))
+    groups = cut(groups.filter("rows > 1"))
+    out = spread_join(nodes, groups, ["component"], hot_keys(groups, "rows", nodes.count()))
+    own = F.when((F.col("n_shingles") == 0) | F.col("rows").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
 
 
 def keep_one(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the documents of a group other than its smallest id; all columns kept."""
-    found = link_components(df, k, num, den, id_col, text_col)
-    gone = cut(found.filter(f"not ({id_col} <=> component_id)").select(F.col(id_col).alias("_gone")).distinct())
-    return df.join(maybe_broadcast(gone, gone.count()), F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each group of linked rows: that with the smallest id (null last), then the smallest text key.
+
+    Rows are told apart by id and text, so an id on several texts or a null id loses no other row;
+    of rows that repeat both, one stays. All columns are kept.
+    """
+    rows = linked(df, k, num, den, id_col, text_col).filter("n_shingles > 0")
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("key").alias("key"))
+    groups = cut(rows.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("rows")).filter("rows > 1"))
+    found = spread_join(rows, groups, ["component"], hot_keys(groups, "rows", rows.count())).filter("rows is not null")
+    whole = ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")))
+    named = found.groupBy("id", "key", whole.alias("whole")).agg(F.count("*").alias("n"))
+    return without_rows(df, cut(named.filter("whole or n > 1").select("id", "key", "whole")), id_col, text_col)

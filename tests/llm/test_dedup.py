@@ -85,7 +85,18 @@ def test_ngram_odd_rows(spark):
     assert ngram_join.link_components(frame(spark, []), 4, 85, 100).collect() == []
     kept = ngram_join.keep_one(frame(spark, ODD))
     assert kept.columns == ["doc_id", "text", "_row", "component"]
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7, 8, 9, 10, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7, 8, 9, 10])
+
+
+def test_keep_one_is_by_row(spark):
+    text = "a passage of quite enough words to have several shingles of five words each"
+    other = "something else that nobody copied from any of the other rows in here"
+    rows = [(1, text), (1, text), (7, text + " too"), (7, other), (None, text + " also"), (None, "only words that a row without an id holds"), (9, ""), (9, "")]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, rows).repartition(3)).collect())
+    assert kept == Counter([(1, text), (7, other), (None, "only words that a row without an id holds"), (9, ""), (9, "")])
+    clash = spark.createDataFrame([(1, text, 1, "a", "b", 3, True), (2, text, 2, "c", "d", 4, False)], "doc_id long, text string, key long, _id string, `_row.x` string, component long, whole boolean")
+    (r,) = ngram_join.keep_one(clash).collect()
+    assert tuple(r) == (1, text, 1, "a", "b", 3, True)
 
 
 def test_parity_sketch_bounds_the_difference():
@@ -138,6 +149,15 @@ def test_exact_groups(spark):
     assert exact_dedup.duplicate_groups(frame(spark, [])).collect() == []
 
 
+def test_exact_drop_is_by_row(spark):
+    rows = [(5, "ab"), (5, "a b"), (5, "a  b"), (8, "a  b"), (5, "a  b"), (6, "cd"), (6, "c d"), (6, "ef"), (None, "gh"), (None, "g h"), (None, "g h")]
+    kept = Counter((r.doc_id, r.text) for r in exact_dedup.drop_duplicates(frame(spark, rows).repartition(4)).collect())
+    assert kept == Counter([(5, "a  b"), (6, "c d"), (6, "ef"), (None, "g h")])
+    clash = spark.createDataFrame([(1, "x", 1, "a", "b", 3, True), (2, "x", 2, "c", "d", 4, False)], "doc_id long, text string, _key long, _id string, _gid string, n long, whole boolean")
+    (r,) = exact_dedup.drop_duplicates(clash).collect()
+    assert tuple(r) == (1, "x", 1, "a", "b", 3, True)
+
+
 def test_exact_drop_keeps_one_of_each_group_and_all_columns(spark):
     df = frame(spark, ODD + [(20, "a b"), (21, "a  b"), (22, "ab")]).repartition(3)
     out = exact_dedup.drop_duplicates(df)
