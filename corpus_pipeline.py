@@ -17,12 +17,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unpacked(exact_dedup.drop_duplicates(packed(docs, "doc_id", "text")))
+    return exact_dedup.drop_duplicates(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by 5-word shingles at 0.8."""
-    return unpacked(ngram_join.keep_one(packed(docs, "doc_id", "text"), k=5, num=80, den=100))
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
