@@ -82,6 +82,35 @@ def op10_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_parity_sketch_join, op2_hash_tree_sharding, op3_ranked_token_file, op4_curriculum_mix, op5_patience_line_dedup, op6_projection_forest, op7_mixture_language_id, op8_ftrl_quality, op9_tree_merge_dedup, op10_sentencepiece_chunks)}
 
 ORACLES = {
+    "op2_hash_tree_sharding": r"""
+with crc as (
+  select list_transform(range(256), lambda n: list_reduce([n::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) t
+), d as (
+  select row_number() over () k, doc_id, coalesce(doc_id::varchar, '') i, octet_length(encode(coalesce(text, ''))) + 16 size,
+         xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) c
+  from documents, crc
+), w as (
+  select 'region' || n lab, n, 20.0::double weight, null::bigint parent from range(2) r(n)
+  union all select 'region2', 2, 1.0, null
+  union all select 'rack' || n, n, 5.0, n // 4 from range(8) r(n)
+  union all select 'shard' || n, n, 1.0, n // 5 from range(40) r(n)
+), v as (
+  select k, lab, n, parent, -ln((('0x' || substr(md5(lab || '/' || i), 1, 12))::bigint + 0.5) / 281474976710656) / weight x from d, w
+), r as (
+  select k, arg_min(n, (x, n)) filter (n < 2) region, arg_min(n, (x, n)) grown from v where lab like 'region%' group by k
+), q as (
+  select r.k, region, grown, arg_min(n, (x, n)) rack from r join v on r.k = v.k and v.lab like 'rack%' and v.parent = region group by all
+), s as (
+  select q.k, region, grown, arg_min(n, (x, n)) shard from q join v on q.k = v.k and v.lab like 'shard%' and v.parent = rack group by all
+), g as (
+  select q.k, arg_min(n, (x, n)) shard from
+    (select r.k, grown, arg_min(n, (x, n)) rack from r join v on r.k = v.k and v.lab like 'rack%' and v.parent = grown group by all) q
+    join v on q.k = v.k and v.lab like 'shard%' and v.parent = rack group by all
+)
+select doc_id, size::bigint size, c text_crc32, 'key' law, s.shard::int shard,
+       row_number() over (partition by s.shard order by md5(i), size, c) - 1 slot, coalesce(g.shard, 40)::int grown_shard
+from d join s using (k) left join g using (k)
+""",
     "op9_tree_merge_dedup": r"""
 with d as (
   select doc_id, coalesce(length(text), 0) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) s from documents

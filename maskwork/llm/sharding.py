@@ -1,28 +1,36 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Law `key`: the document's id and the shard count alone decide. Every shard draws an exponential
-variate -ln(u)/weight from the hash of (shard, id); the draw of a rack is the least draw of its
-shards and that of a region the least of its racks, which has the distribution of one draw with
-the summed weight. Regions and racks draw nothing of their own, so the descent ends at the least
-draw of all shards: the result is that of flat weighted rendezvous hashing. It picks a shard in
-proportion to its weight, and when weights change, draws of other subtrees stay what they were:
-documents move only out of subtrees that got lighter and into ones that got heavier. One more
-shard therefore takes rows only into itself.
+Every document descends region, rack and shard levels. At a node each child draws an exponential
+variate -ln(u)/weight from the hash of (child, id), its weight being the sum of the weights below
+it, and the least draw is taken: children are chosen in proportion to their weights, with as many
+draws as the nodes on the way have children, not one for every shard.
+
+When weights change, a child whose weight is the same draws as before. A document therefore leaves
+a node only for a child that got heavier, or because its own got lighter: movement is confined to
+subtrees whose weights change, and inside one whose own children keep their weights nothing moves.
+
+Law `key`: the document's id and the shard count alone decide. Shards up to BASE fill racks and
+regions; every further shard is a region of its own, so that one more shard leaves all other
+weights as they are and takes rows only into itself.
 
 Slots number the documents of a shard without gaps, in hash order, from two-level totals.
 
 Defined results: a null id hashes as the empty string; null text has size 16 and the CRC of no
-bytes; repeated rows get slots of their own; an empty table gives no rows.
+bytes; very long texts count whole; equal draws (2**-48 likely) go to the smaller number; repeated
+rows get slots of their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_digits, hash_order, with_running_total
+from .common import bucket_digits, cut, hash_order, with_running_total
+
+BASE = 40
 
 
 @dataclass(frozen=True)
@@ -33,42 +41,60 @@ class Shard:
     weight: float = 1.0
 
 
-def tree(shards: int, racks_per_region: int = 4, shards_per_rack: int = 5) -> list[Shard]:
-    """Shards 0 to shards-1, filling racks and regions in order."""
-    return [Shard(i // (shards_per_rack * racks_per_region), i // shards_per_rack, i) for i in range(shards)]
+def tree(shards: int, racks_per_region: int = 4, shards_per_rack: int = 5, base: int = BASE) -> list[Shard]:
+    """Shards 0 to shards-1: the first `base` fill racks and regions in order, each other one is alone in its region."""
+    out = [Shard(i // (shards_per_rack * racks_per_region), i // shards_per_rack, i) for i in range(min(shards, base))]
+    for i in range(base, shards):
+        out.append(Shard(out[-1].region + 1, out[-1].rack + 1, i))
+    return out
 
 
-def draw(id_text: Column, shard: Shard) -> Column:
-    """Exponential draw of one shard: 48 bits of md5("shard/id") as u in (0, 1)."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{shard.shard}/"), id_text).cast("binary")), 1, 12), 16, 10).cast("double")
-    return -F.log((bits + 0.5) / float(1 << 48)) / F.lit(float(shard.weight))
+def draw(name: Column, id_text: Column, weight: Column) -> Column:
+    """Exponential draw of one child: 48 bits of md5("name/id") as u in (0, 1)."""
+    bits = F.conv(F.substring(F.md5(F.concat(name, F.lit("/"), id_text).cast("binary")), 1, 12), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / float(1 << 48)) / weight
 
 
-def descend(draws: dict[Shard, Column], leaves: list[Shard]) -> Column:
-    """The shard of the least draw, level by level; ties go to the smaller number.
+def child(level: str, id_text: Column, children: dict[int, dict[int, float]], parent: Column | None) -> Column:
+    """The child of `parent` with the least draw. children: by parent, the weight of every child.
 
-    A node's value is the least (draw, shard) of its children: the draw that it competes with,
-    and where the descent from it ends.
+    Only the parent's own children draw, whatever the size of the level.
     """
-    racks: dict[int, dict[int, list[Column]]] = {}
+    places = {p: k for k, p in enumerate(children)}
+    lists = F.array(*(F.array(*(F.struct(F.lit(c).alias("child"), F.lit(float(w)).alias("weight")) for c, w in own.items())) for own in children.values()))
+    at = F.lit(1) if parent is None else F.element_at(F.array(*(F.lit(places.get(p, -1) + 1) for p in range(max(places) + 1))), parent + 1)
+    drawn: Callable[[Column], Column] = lambda c: F.struct(draw(F.concat(F.lit(level), c["child"].cast("string")), id_text, c["weight"]), c["child"])
+    return F.array_min(F.transform(F.element_at(lists, at), drawn))["child"]
+
+
+def levels(leaves: list[Shard]) -> list[dict[int, dict[int, float]]]:
+    """For each level, by parent, the weights of its children: sums of the shards' below."""
+    out: list[dict[int, dict[int, float]]] = [{}, {}, {}]
     for s in leaves:
-        leaf = F.struct(draws[s].alias("draw"), F.lit(s.shard).alias("shard"))
-        racks.setdefault(s.region, {}).setdefault(s.rack, []).append(leaf)
-    regions = [F.array_min(F.array(*(F.array_min(F.array(*shards)) for shards in r.values()))) for r in racks.values()]
-    return F.array_min(F.array(*regions))["shard"]
+        if s.weight > 0:
+            for own, (parent, node) in zip(out, [(0, s.region), (s.region, s.rack), (s.rack, s.shard)]):
+                weights = own.setdefault(parent, {})
+                weights[node] = weights.get(node, 0.0) + s.weight
+    return out
+
+
+def descend(d: DataFrame, leaves: list[Shard], out: str) -> DataFrame:
+    """Add out, the shard of column _id, level by level."""
+    node = None
+    for k, (name, children) in enumerate(zip(("region", "rack", "shard"), levels(leaves))):
+        d = d.withColumn(step := out if name == "shard" else f"_{out}_{name}", child(name, F.col("_id"), children, node))
+        node = F.col(step)
+    return d
 
 
 def assign(df: DataFrame, leaves: list[Shard], grown: list[Shard] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, size, text_crc32, law, shard, slot, grown_shard."""
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    d = df.select(F.col(id_col), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    d = d.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    names = {(s.shard, s.weight): f"_d{k}" for k, s in enumerate([*leaves, *(grown or [])])}
-    picked = {names[s.shard, s.weight]: s for s in [*leaves, *(grown or [])]}
-    d = d.select("*", *(draw(F.col("_id"), s).alias(n) for n, s in picked.items()))
-    at = {s: F.col(names[s.shard, s.weight]) for s in [*leaves, *(grown or [])]}
-    d = d.select(id_col, "size", "text_crc32", descend(at, leaves).alias("shard"), (descend(at, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"), hash_order(F.col(id_col)).alias("_order"))
-    rows = df.select(F.lit(1)).count()
-    d = d.withColumn("_bucket", F.substring("_order", 1, bucket_digits(rows)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    d = df.select(F.col(f"`{id_col}`").alias("_doc"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    d = d.withColumn("_id", F.coalesce(F.col("_doc").cast("string"), F.lit("")))
+    d = descend(d, leaves, "shard")
+    d = descend(d, grown, "grown_shard") if grown else d.withColumn("grown_shard", F.lit(None).cast("int"))
+    d = cut(d.select("_doc", "size", "text_crc32", "shard", "grown_shard", hash_order(F.col("_doc")).alias("_order")))
+    d = d.withColumn("_bucket", F.substring("_order", 1, bucket_digits(d.count())))
     d = with_running_total(d, "shard", ["_order", "size", "text_crc32"], "_bucket", F.lit(1), "slot")
-    return d.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
+    return d.select(F.col("_doc").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")

@@ -234,11 +234,17 @@ def brute_shard(doc_id, leaves):
     import hashlib
     import math
 
-    def draw(s):
-        bits = int(hashlib.md5(f"{s.shard}/{'' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16)
-        return -math.log((bits + 0.5) / (1 << 48)) / s.weight
+    def draw(name, weight):
+        bits = int(hashlib.md5(f"{name}/{'' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16)
+        return -math.log((bits + 0.5) / (1 << 48)) / weight
 
-    return min(leaves, key=draw).shard
+    for level in ("region", "rack", "shard"):
+        weights = Counter()
+        for s in leaves:
+            weights[getattr(s, level)] += s.weight
+        taken = min(weights, key=lambda n: (draw(f"{level}{n}", weights[n]), n))
+        leaves = [s for s in leaves if getattr(s, level) == taken]
+    return leaves[0].shard
 
 
 def test_shards(spark):
@@ -260,11 +266,28 @@ def test_shards(spark):
     assert sharding.assign(frame(spark, []), leaves).collect() == []
 
 
+def moved(spark, leaves, other, n=4000):
+    """(from, to) of every document, by region, rack and shard."""
+    rows = [(k, "x", "s") for k in range(n)]
+    at, to = ({s.shard: (s.region, s.rack, s.shard) for s in x} for x in (leaves, other))
+    return [(at[r.shard], to[r.grown_shard]) for r in sharding.assign(frame(spark, rows), leaves, other).collect()]
+
+
 def test_weights_confine_movement(spark):
-    rows = [(k, "x", "s") for k in range(4000)]
     leaves = sharding.tree(12, 2, 3)
-    heavier = [sharding.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 4 else 1.0) for s in leaves]
-    got = sharding.assign(frame(spark, rows), leaves, heavier).collect()
-    assert {r.grown_shard for r in got if r.grown_shard != r.shard} == {4}
-    share = sum(r.grown_shard == 4 for r in got) / len(got)
+    got = moved(spark, leaves, [sharding.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 4 else 1.0) for s in leaves])
+    share = sum(t[2] == 4 for _, t in got) / len(got)
     assert 0.15 < share < 0.28
+    for f, t in got:  # shard 4 is in rack 1 of region 0: only these got heavier
+        if f != t:
+            assert t[0] == 0 if f[0] != t[0] else t[1] == 1 if f[1] != t[1] else t[2] == 4
+    # rack 1 gains what rack 0 loses: the region's weight is the same, and nothing crosses its border or moves elsewhere
+    even = [sharding.Shard(s.region, s.rack, s.shard, {0: 0.5, 1: 1.5}.get(s.rack, 1.0)) for s in leaves]
+    got = moved(spark, leaves, even)
+    assert {(f[1], t[1]) for f, t in got if f != t} == {(0, 1)}
+
+
+def test_further_shards_take_rows_only_into_themselves(spark):
+    for n in (40, 41, 47):
+        got = moved(spark, sharding.tree(n), sharding.tree(n + 1), 2000)
+        assert {t[2] for f, t in got if f != t} == {n}
