@@ -16,19 +16,23 @@ LATIN = r"[A-Za-zÀ-ɏ]"
 _UPPER = "[" + "".join(regex.escape(c) for c in map(chr, [*range(65, 91), *range(0xC0, 0x250)]) if c.upper() == c != c.lower()) + "]"
 _NOT_SPACE = r"[^\t\n\x0B\x0C\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _CJK = r"[぀-ヿ㐀-鿿가-힯豈-﫿]"
+#: A break is one of the first signs, or one of the second ones where what follows it holds.
 _BREAK = regex.compile(
-    r"[\n\t|\u00A0]| {2,}"
-    r"|[;?!，；：、。！？()（）\[\]【】《》\"“”「」『』<>{}]"
-    r"|:(?=\Z| )"
-    r"|,(?!(?<=[0-9],)[0-9])"
-    rf"|\.(?!(?<=[0-9]\.)[0-9])(?!{LATIN})(?<!(?<!{LATIN}){_UPPER}{LATIN}{{0,2}}\.)"
+    r"[\n\t| ;?!，；：、。！？()（）\[\]【】《》\"“”「」『』<>{}]"
+    r"|(?=[ :,.])(?: {2,}|:(?=\Z| )|,(?!(?<=[0-9],)[0-9])"
+    rf"|\.(?!(?<=[0-9]\.)[0-9])(?!{LATIN})(?<!(?<!{LATIN}){_UPPER}{LATIN}{{0,2}}\.))"
 )
+#: Words come first, unless they may begin an address or a link; groups tell the kinds apart.
 _ATOM = regex.compile(
-    rf"{_NOT_SPACE}+@{_NOT_SPACE}+|[A-Za-z][A-Za-z0-9+.\-]*://{_NOT_SPACE}+|www\.{_NOT_SPACE}+|{_CJK}+"
+    rf"(?P<link>{_NOT_SPACE}+@{_NOT_SPACE}+|[A-Za-z][A-Za-z0-9+.\-]*://{_NOT_SPACE}+|www\.{_NOT_SPACE}+)|(?P<cjk>{_CJK}+)"
     rf"|{LATIN}{{1,3}}\.|[0-9](?:[0-9.,/\-+'’]*[0-9])?|{LATIN}[A-Za-zÀ-ɏ'’\-]*|{_NOT_SPACE}"
 )
+#: The same where a segment holds neither @ nor :// nor www.
+_PLAIN_ATOM = regex.compile(rf"(?P<link>(?!))|(?P<cjk>{_CJK}+)|{LATIN}{{1,3}}\.|[0-9](?:[0-9.,/\-+'’]*[0-9])?|{LATIN}[A-Za-zÀ-ɏ'’\-]*|{_NOT_SPACE}")
 _VALUE = regex.compile(rf"(?s).*(?:@|://|{_CJK}).*|[0-9].*|{_UPPER}.*|[€£$¥%₽₹¢]")
-_LATIN = regex.compile(LATIN)
+_FIRST_OF_VALUE = frozenset("0123456789") | frozenset(c for c in map(chr, [*range(65, 91), *range(0xC0, 0x250)]) if c.upper() == c != c.lower())
+_SIGNS = frozenset("€£$¥%₽₹¢@")
+_LATIN_LETTERS = frozenset(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]))
 
 
 def units(text: str) -> int:
@@ -59,35 +63,50 @@ def segments(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+def atoms(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
+    """Start, end and whether it reads as a value, of every atom of a segment."""
+    part = text[start:end]
+    linked = "@" in part or "://" in part or "www." in part
+    out = []
+    for m in (_ATOM if linked else _PLAIN_ATOM).finditer(text, start, end):
+        a, b = m.span()
+        if m["link"]:
+            value = bool(_VALUE.fullmatch(text, a, b))
+        else:
+            value = text[a] in _FIRST_OF_VALUE or m["cjk"] is not None or (b == a + 1 and text[a] in _SIGNS)
+        out.append((a, b, value))
+    return out
+
+
 def chunks(text: str, taken: Iterable[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     out = []
     for a, b in free_ranges(len(text), taken):
         for x, y in segments(text, a, b):
-            out += _joined(text, [m.span() for m in _ATOM.finditer(text, x, y)])
+            out += _joined(text, atoms(text, x, y))
     return out
 
 
-def _joined(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out, i = [], 0
-    value = [bool(_VALUE.fullmatch(text, *a)) for a in atoms]
-    while i < len(atoms):
-        start = atoms[i][0]
-        if not value[i]:
-            if _LATIN.match(text, start):
-                out.append(atoms[i])
-            i += 1
+def _joined(text: str, atoms: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+    """A value takes in the values behind it and up to BRIDGE_WORDS short words between; a word that is no value stays alone."""
+    out, i, n = [], 0, len(atoms)
+    while i < n:
+        start, end, value = atoms[i]
+        i += 1
+        if not value:
+            if text[start] in _LATIN_LETTERS:
+                out.append((start, end))
             continue
         last, bridge = i, 0
-        for j in range(i + 1, len(atoms)):
-            a, b = atoms[j]
-            if text[atoms[j - 1][1] : a] not in ("", " ") or units(text[start:b]) > LONGEST:
+        for j in range(i, n):
+            a, b, more = atoms[j]
+            if a - atoms[j - 1][1] > 1 or text[atoms[j - 1][1] : a] not in ("", " ") or (b - start > LONGEST // 2 and units(text[start:b]) > LONGEST):
                 break
-            if value[j]:
-                last, bridge = j, 0
-            elif bridge < BRIDGE_WORDS and units(text[a:b]) <= BRIDGE_LENGTH and _LATIN.match(text, a):
+            if more:
+                last, bridge = j + 1, 0
+            elif bridge < BRIDGE_WORDS and units(text[a:b]) <= BRIDGE_LENGTH and text[a] in _LATIN_LETTERS:
                 bridge += 1
             else:
                 break
-        out.append((start, atoms[last][1]))
-        i = last + 1
+        out.append((start, atoms[last - 1][1]))
+        i = last
     return out

@@ -1,8 +1,8 @@
 """The operators over DataFrames: detect, process, merge, anonymize, restore, chunk, regions, languages.
 
 Each adds columns to a table of documents and leaves the rest alone. Full rule packs and the
-heuristics that walk a text from left to right run in one Arrow pass over (text, spans, earlier
-mappings); no operator here shuffles.
+heuristics that walk a text from left to right run in one Arrow pass over (text, model spans,
+earlier mappings); no operator here shuffles.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,39 +93,51 @@ def candidates_of(text: str, rules: Sequence[Rule], dictionary: Iterable[str], l
     return out
 
 
-def detect(
-    df: DataFrame,
-    text_col: str = "text",
-    *,
-    regions: Iterable[str] | None = None,
-    selection: RuleSelection | None = None,
-    rules: Sequence[Rule] | None = None,
-    dictionary: Iterable[str] = (),
-    never_hide: Iterable[str] = (),
-    lists: Iterable[tuple[str, Sequence[str]]] = (),
-    model_col: str | None = None,
-    detectors: Iterable[Detector] = (),
-    policy: Policy | None = None,
-    raw: bool = False,
-    offset_unit: str = "utf8",
-    out: str = "spans",
-) -> DataFrame:
-    """df with the spans that count in each text (with raw: all candidates). Null text has none."""
+#: Names of all lists that one detect may hold: they are broadcast. Longer lists are joined (`native.list_frame`).
+MOST_NAMES = 1_000_000
+
+
+def finder(spark: SparkSession, *, regions: Iterable[str] | None = None, selection: RuleSelection | None = None, rules: Sequence[Rule] | None = None, dictionary: Iterable[str] = (), never_hide: Iterable[str] = (), lists: Iterable[tuple[str, Sequence[str]]] = (), detectors: Iterable[Detector] = (), policy: Policy | None = None, raw: bool = False, offset_unit: str = "utf8") -> Callable[[str, list[dict] | None], tuple[Document, list[Span]]]:
+    """What detect does with one text and its model spans."""
     rules = list(bundled(regions, selection) if rules is None else rules)
     dictionary, never_hide, detectors, policy = list(dictionary), list(never_hide), list(detectors), policy or Policy()
-    index = ListIndex(lists) if lists else None
+    lists = [(kind, list(names)) for kind, names in lists]
+    if (n := sum(len(names) for _, names in lists)) > MOST_NAMES:
+        raise InvalidArgument(f"{n} names in lists; join more than {MOST_NAMES} with native.list_frame")
+    index = spark.sparkContext.broadcast(ListIndex(lists)) if lists else None
 
-    def one(text: str | None, model: list[dict] | None) -> list[dict] | None:
-        if text is None:
-            return None
+    def find(text: str, model: list[dict] | None) -> tuple[Document, list[Span]]:
         doc = Document(text, offset_unit)
-        found = candidates_of(text, rules, dictionary, index, detectors) + doc.read(model)
+        found = candidates_of(text, rules, dictionary, index.value if index else None, detectors) + doc.read(model)
         if raw:
-            return doc.write(found)
+            return doc, found
         if message := policy.check(doc.out(len(text)), lambda at: doc.index.point(at, offset_unit) >= 0):
             raise InvalidArgument(message)
         ranges = None if policy.ranges is None else [(doc.index.point(a, offset_unit), doc.index.point(b, offset_unit)) for a, b in policy.ranges]
-        return doc.write(settle(text, found, doc.size, never_hide, policy, ranges))
+        return doc, settle(text, found, doc.size, never_hide, policy, ranges)
+
+    return find
+
+
+def hidden(doc: Document, spans: Iterable[Span], previous: list[dict] | None) -> dict:
+    """The anonymized struct of one text."""
+    ledger = Ledger().load((m["original"], m["placeholder"], m["type"]) for m in previous or ())
+    new, done = anonymise(doc.text, [s for s in spans if s.enabled], ledger)
+    return {"text": new, "mappings": ledger.mappings(), "replacements": [{"start": doc.out(a), "end": doc.out(b), "placeholder": p} for a, b, p in done]}
+
+
+def detect(df: DataFrame, text_col: str = "text", *, model_col: str | None = None, out: str = "spans", **options) -> DataFrame:
+    """df with the spans that count in each text (with raw: all candidates). Null text has none.
+
+    options: regions, selection, rules, dictionary, never_hide, lists, detectors, policy, raw, offset_unit (see `finder`).
+    """
+    find = finder(df.sparkSession, **options)
+
+    def one(text: str | None, model: list[dict] | None) -> list[dict] | None:
+        if text is None:
+            return None
+        doc, found = find(text, model)
+        return doc.write(found)
 
     def batch(texts: pa.Array, models: pa.Array) -> pa.Array:
         return pa.array([one(*r) for r in _rows(texts, models)], _SPANS_PA)
@@ -139,9 +151,8 @@ def anonymize(df: DataFrame, text_col: str = "text", spans_col: str = "spans", p
     def one(text: str | None, spans: list[dict] | None, previous: list[dict] | None) -> dict | None:
         if text is None:
             return None
-        doc, ledger = Document(text, offset_unit), Ledger().load((m["original"], m["placeholder"], m["type"]) for m in previous or ())
-        new, done = anonymise(text, doc.read([s for s in spans or () if s["enabled"] is not False]), ledger)
-        return {"text": new, "mappings": ledger.mappings(), "replacements": [{"start": doc.out(a), "end": doc.out(b), "placeholder": p} for a, b, p in done]}
+        doc = Document(text, offset_unit)
+        return hidden(doc, doc.read([s for s in spans or () if s["enabled"] is not False]), previous)
 
     def batch(texts: pa.Array, spans: pa.Array, previous: pa.Array) -> pa.Array:
         return pa.array([one(*r) for r in _rows(texts, spans, previous)], _ANON_PA)
@@ -149,9 +160,22 @@ def anonymize(df: DataFrame, text_col: str = "text", spans_col: str = "spans", p
     return df.withColumn(out, F.arrow_udf(batch, _ANON)(F.col(text_col), F.col(spans_col), _null(previous_col, MAPPINGS)))
 
 
-def process(df: DataFrame, text_col: str = "text", previous_col: str | None = None, offset_unit: str = "utf8", **detect_options) -> DataFrame:
-    """detect and anonymize: df with spans and anonymized."""
-    return anonymize(detect(df, text_col, offset_unit=offset_unit, **detect_options), text_col, "spans", previous_col, offset_unit)
+def process(df: DataFrame, text_col: str = "text", previous_col: str | None = None, model_col: str | None = None, **options) -> DataFrame:
+    """detect and anonymize in one pass over the texts: df with spans and anonymized."""
+    find = finder(df.sparkSession, **options)
+
+    def one(text: str | None, model: list[dict] | None, previous: list[dict] | None) -> dict:
+        if text is None:
+            return {"spans": None, "anonymized": None}
+        doc, found = find(text, model)
+        return {"spans": doc.write(found), "anonymized": hidden(doc, found, previous)}
+
+    def batch(texts: pa.Array, models: pa.Array, previous: pa.Array) -> pa.Array:
+        return pa.array([one(*r) for r in _rows(texts, models, previous)], pa.struct([("spans", _SPANS_PA), ("anonymized", _ANON_PA)]))
+
+    kind = T.StructType([T.StructField("spans", SPANS), T.StructField("anonymized", _ANON)])
+    got = df.withColumn("_processed", F.arrow_udf(batch, kind)(F.col(text_col), _null(model_col, SPANS), _null(previous_col, MAPPINGS)))
+    return got.withColumns({"spans": F.col("_processed.spans"), "anonymized": F.col("_processed.anonymized")}).drop("_processed")
 
 
 def merge(df: DataFrame, text_col: str = "text", spans_col: str = "spans", offset_unit: str = "utf8", out: str = "merged") -> DataFrame:

@@ -6,13 +6,14 @@ turns the offsets into bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import cache
 
 import regex
 
 from ..functions.validators import check
+from ..sources.demands import Facts
 from ..sources.rules import Rule, compiled
 
 __all__ = ["ListIndex", "Span", "dictionary_spans", "list_spans", "rule_spans", "word_spans", "zeros_for_os", "replace"]
@@ -20,6 +21,7 @@ __all__ = ["ListIndex", "Span", "dictionary_spans", "list_spans", "rule_spans",
 ALNUM = r"[\p{Alphabetic}\p{N}]"
 CJK = r"[぀-ヿ㐀-鿿가-힯]"
 _DIGIT_RUN = regex.compile(rf"(?<!{ALNUM})[0-9oO]*[0-9][0-9oO]*(?!{ALNUM})")
+_ZERO_LIKE = regex.compile(r"[0-9][oO]|[oO][0-9]")
 _WORD = regex.compile(rf"{ALNUM}+")
 _CJK = regex.compile(CJK)
 _FIGURES = regex.compile(r"[0-9 ./-]+")
@@ -41,21 +43,21 @@ class Span:
 
 
 def zeros_for_os(text: str) -> str:
+    if not _ZERO_LIKE.search(text):
+        return text
     return _DIGIT_RUN.sub(lambda m: m[0].translate({111: 48, 79: 48}), text)
 
 
 def rule_spans(text: str, rules: Iterable[Rule]) -> list[Span]:
     """Accepted matches of every rule; after a rejected match the search goes on one character further."""
     view = zeros_for_os(text)
+    facts = Facts(view)
     views = [view, view.replace("\t", "\x01")] if "\t" in view else [view]
-    has_digit = any("0" <= c <= "9" for c in set(view))
     out = []
     for rule in rules:
-        if not has_digit and needs_digit(rule.pattern):
+        if not facts.allow(rule.pattern, "i" in rule.flags):
             continue
-        if rule.needs and not compiled(rule.needs, rule.flags).search(view):
-            continue
-        find, taken = rule.compiled.search, set()
+        find, taken = search_of(rule.pattern, rule.flags), set()
         for hay in views:
             at = 0
             while m := find(hay, at):
@@ -73,11 +75,58 @@ def rule_spans(text: str, rules: Iterable[Rule]) -> list[Span]:
     return out
 
 
+_LED = regex.compile(r"\[([^\[\]^]+)\]\[(\1[^\[\]]*)\][*+](?![?+])")
+
+
+Search = Callable[[str, int], regex.Match | None]
+
+
 @cache
-def needs_digit(pattern: str) -> bool:
-    """Whether a pattern plainly demands an ASCII digit: \\d with no choice or option that avoids it."""
-    bare = regex.sub(r"\(\?<?[=!](?:[^()]|\([^()]*\))*\)|\[[^\]]*\]", "", pattern)
-    return bool(regex.search(r"\\d(?![*?]|\{0)", bare)) and "|" not in bare
+def search_of(pattern: str, flags: str) -> Search:
+    """A search for the leftmost match at or behind a place.
+
+    Where a pattern is one character of a set and then a run of a wider set, and no match starts at
+    the first such character of a run, none starts at a later one either: the run leads to the same
+    places. So one attempt a run is enough, and long runs don't cost their square. A pattern with
+    such a branch is searched branch by branch; the leftmost match wins, then the earlier branch.
+    """
+    branches = _branches(pattern)
+    if not any(_LED.match(b) for b in branches):
+        return compiled(pattern, flags).search
+    searches = [_led_search(b, flags) for b in branches]
+    if len(searches) == 1:
+        return searches[0]
+
+    def search(text: str, at: int) -> regex.Match | None:
+        return min((m for find in searches if (m := find(text, at))), key=lambda m: m.start(), default=None)
+
+    return search
+
+
+def _led_search(pattern: str, flags: str) -> Search:
+    whole, led = compiled(pattern, flags), _LED.match(pattern)
+    if not led:
+        return whole.search
+    first, runs = compiled(f"[{led[1]}]", flags), compiled(f"[{led[2]}]+", flags)
+
+    def search(text: str, at: int) -> regex.Match | None:
+        for run in runs.finditer(text, at):
+            if (start := first.search(text, *run.span())) and (m := whole.match(text, start.start())):
+                return m
+        return None
+
+    return search
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside of all groups and sets."""
+    out, depth, last = [], 0, 0
+    for m in regex.finditer(r"\\.|\[(?:\\.|[^\]])*\]|[()|]", pattern):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if m[0] == "|" and not depth:
+            out.append(pattern[last : m.start()])
+            last = m.end()
+    return [*out, pattern[last:]]
 
 
 #: Letters that a dictionary term and a text may differ in.

@@ -5,7 +5,8 @@ import json
 import pytest
 
 from maskwork.operators.scan import ListIndex, dictionary_spans, list_spans, rule_spans, zeros_for_os
-from maskwork.sources import rules
+from maskwork.operators.scan import search_of
+from maskwork.sources import demands, rules
 from maskwork.sources.rules import RuleSelection
 
 
@@ -74,3 +75,51 @@ def test_lists_are_exact():
     text = "Apple apple Apple Park, Bank of X; 阿里巴巴集团"
     assert [(text[s.start : s.end], s.type) for s in list_spans(text, index)] == [("Apple", "COMPANY"), ("Apple", "COMPANY"), ("Apple Park", "ADDRESS"), ("Bank of X", "COMPANY"), ("阿里巴巴", "COMPANY")]
     assert len(index) == 4
+
+
+def test_demands_are_read_from_patterns():
+    d = lambda p, i=False: (demands.demand(p, i).digits, sorted(demands.demand(p, i).strings))
+    assert d(r"\b\d{3}-?\d{2,4}\b") == (5, []) and d(r"(?:\d{2}|\d{4}a)x") == (2, ["x"])
+    assert d(r"[\p{L}]+(?:GmbH|AG)\b") == (0, ["AG", "GmbH"]) and d(r"a(?:b|c)?d") == (0, ["abd", "acd", "ad"])
+    assert d(r"(?:rue|AVENUE)\s+\w+", True) == (0, ["avenue", "rue"]) and d(r"(?<=Ref: )[A-Z]+(?!x)") == (0, ["Ref: "])
+    assert d(r"(?<=^|, )\w") == (0, []) and d(r"x*y?[^a]") == (0, []) and d(r"[0-9]{2}[\d-]") == (2, [])
+
+
+@pytest.mark.parametrize("region", ["universal", *rules.regions()])
+def test_what_a_rule_demands_is_in_its_examples(region):
+    for r in rules.pack(region):
+        for e in r.examples:
+            for text in (e, f"Word, {e}; more", e.upper() if "i" in r.flags else e):
+                assert not r.compiled.search(text) or demands.Facts(text).allow(r.pattern, "i" in r.flags), (r.id, text)
+
+
+def test_odd_letters_do_not_hide_matches():
+    (r,) = [r for r in rules.pack("de") if r.id.endswith(":street")]
+    assert rule_spans("Hauptſtraße 5 und Ringſtraſſe 7", [r])
+
+
+def test_search_by_runs_is_the_search_of_the_pattern():
+    import random
+
+    rng = random.Random(2)
+    every = [r for r in rules.bundled() if search_of(r.pattern, r.flags) != r.compiled.search]
+    assert len(every) > 10
+    for r in every:
+        words = ["a", "Ab", " ", "  ", "-", "\t", ",", "12", "\n", *r.examples, *r.examples[0].split()]
+        for _ in range(150):
+            text, at = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), 0
+            while True:
+                got, want = search_of(r.pattern, r.flags)(text, at), r.compiled.search(text, at)
+                assert (got and got.span()) == (want and want.span()), (r.id, text, at)
+                if not want:
+                    break
+                at = rng.choice([want.start() + 1, max(want.end(), at + 1)])
+
+
+def test_long_runs_are_linear():
+    import time
+
+    text = "word of a very long run without any stop " * 20_000 + "AG, 5"
+    start = time.perf_counter()
+    rule_spans(text, [r for r in rules.pack("de") if r.id.split(":")[-1] in ("company", "street")])
+    assert time.perf_counter() - start < 20
