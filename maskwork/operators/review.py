@@ -21,13 +21,18 @@ _EDGE = r"[\p{White_Space}!-/:-@\[-`{-~]"
 _CORE = regex.compile(rf"(?s)(?!{_EDGE}).*(?<!{_EDGE})")
 
 #: Titles and roles that are not names, and articles that may stand before them.
-TITLES = set(
-    "chair|chairman|ceo|cfo|president|director|manager|secretary|head|mr|mrs|ms|miss|dr|prof|operations|human resources|finance|legal|sales|department"
-    "|lessor|lessee|landlord|tenant|buyer|seller|employer|employee|client|customer|monsieur|madame|président|directeur|service|siret|siren|bailleur|locataire"
-    "|señor|señora|presidente|directora|departamento|dni|nif|先生|女士|小姐|公司|集团|部门|法务部|销售部|人事部|财务部|董事会|董事长|总经理|经理|总监|主任|主管|秘书|检测中心|中心|务部".split("|")
-)
+TITLES = {
+    "chair", "chairman", "ceo", "cfo", "president", "director", "manager", "secretary", "head", "mr", "mrs", "ms", "miss", "dr", "prof", "operations",
+    "human resources", "finance", "legal", "sales", "department", "lessor", "lessee", "landlord", "tenant", "buyer", "seller", "employer", "employee",
+    "client", "customer", "monsieur", "madame", "président", "directeur", "service", "siret", "siren", "bailleur", "locataire", "señor", "señora",
+    "presidente", "directora", "departamento", "dni", "nif", "先生", "女士", "小姐", "公司", "集团", "部门", "法务部", "销售部", "人事部", "财务部", "董事会", "董事长", "总经理",
+    "经理", "总监", "主任", "主管", "秘书", "检测中心", "中心", "务部",
+}
 ARTICLES = ["the ", "a ", "an ", "le ", "la ", "les ", "el ", "los ", "las ", "un ", "une ", "una ", "l'", "l’"]
-FUNCTION_WORDS = set("the a an of and or to in on at for by with from as le la les un une des du de et ou au en pour par avec el los las una y o del al con por para sin".split())
+FUNCTION_WORDS = {
+    "the", "a", "an", "of", "and", "or", "to", "in", "on", "at", "for", "by", "with", "from", "as", "le", "la", "les", "un", "une", "des", "du", "de",
+    "et", "ou", "au", "en", "pour", "par", "avec", "el", "los", "las", "una", "y", "o", "del", "al", "con", "por", "para", "sin",
+}
 #: Labels before a date of birth.
 BIRTH_LABELS = ["born", "date of birth", "birth date", "birthdate", "birthday", "d.o.b.", "dob", "né(e) le", "née le", "né le", "naissance", "nacido", "nacida", "nacimiento", "f. nac."]
 #: Marks of funds and indices, which are public.

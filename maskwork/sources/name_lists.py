@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 #: Limits, and places that a company's name may collide with.
 LONGEST_NAME, WELL_KNOWN, BIG_CITY = 120, 40, 1_000_000
-PLACE_WORDS = (
-    "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas Kentucky Louisiana Maine Maryland Massachusetts Michigan "
-    "Minnesota Mississippi Missouri Montana Nebraska Nevada Ohio Oklahoma Oregon Pennsylvania Tennessee Texas Utah Vermont Virginia Washington Wisconsin Wyoming "
-    "America Canada Mexico England Scotland Wales Ireland France Belgium Switzerland Spain Germany Italy Portugal Netherlands Austria Australia China Japan India Brazil Argentina Chile Colombia "
-    "Peru Morocco Algeria Tunisia Senegal Europe Africa Asia Canadá México Francia Bélgica Suiza España Alemania Italia Irlanda Inglaterra Escocia Europa "
-    "Allemagne Espagne Italie Belgique Suisse Angleterre Écosse Irlande Mexique Brésil Maroc Algérie Tunisie Sénégal Chine Japon Inde Afrique"
-).split()
+PLACE_WORDS = [
+    "Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut", "Delaware", "Florida", "Georgia", "Hawaii", "Idaho",
+    "Illinois", "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota", "Mississippi",
+    "Missouri", "Montana", "Nebraska", "Nevada", "Ohio", "Oklahoma", "Oregon", "Pennsylvania", "Tennessee", "Texas", "Utah", "Vermont", "Virginia",
+    "Washington", "Wisconsin", "Wyoming", "America", "Canada", "Mexico", "England", "Scotland", "Wales", "Ireland", "France", "Belgium",
+    "Switzerland", "Spain", "Germany", "Italy", "Portugal", "Netherlands", "Austria", "Australia", "China", "Japan", "India", "Brazil", "Argentina",
+    "Chile", "Colombia", "Peru", "Morocco", "Algeria", "Tunisia", "Senegal", "Europe", "Africa", "Asia", "Canadá", "México", "Francia", "Bélgica",
+    "Suiza", "España", "Alemania", "Italia", "Irlanda", "Inglaterra", "Escocia", "Europa", "Allemagne", "Espagne", "Italie", "Belgique", "Suisse",
+    "Angleterre", "Écosse", "Irlande", "Mexique", "Brésil", "Maroc", "Algérie", "Tunisie", "Sénégal", "Chine", "Japon", "Inde", "Afrique",
+]
 CITY_ENDINGS = ["市", "省", "自治区", "自治區", "特别行政区", "特別行政區"]
 
 
