@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 UNICODE = "(?dU)"
 ALNUM = r"[\p{IsAlphabetic}\p{N}]"
 CJK = "[぀-ヿ㐀-鿿가-힯]"
-#: A noncharacter that marks places in a text while it is cut.
-MARK = "﷐"
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 

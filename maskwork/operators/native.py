@@ -7,20 +7,25 @@ restoring. Full rule packs, whose many patterns one Arrow pass handles faster, a
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MARK, UNICODE, octet_slice
+from ..functions import text as tx
+from ..functions.text import UNICODE, octet_slice
 from ..functions.validators import check_column
+from ..sources.demands import demand
 from ..sources.rules import Rule
 from ..sources.schema import MAPPINGS, SPANS, priority
 
 _NUMERIC = ["ID", "CARD", "OTHER", "PHONE"]
 
-#: Rules whose patterns mean the same in Java, RE2 and Python.
+#: Rules that the JVM searches in time linear in the text: runs are bounded, or possessive and entered at their first character.
 PLAIN_RULES = [
-    Rule("plain:email", "plain", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "", 0.95),
+    Rule("plain:email", "plain", "EMAIL", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "", 0.95),
     Rule("plain:ipv4", "plain", "IP", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "", 0.9, "ipOctets"),
     Rule("plain:card", "plain", "CARD", r"\b[0-9]{16}\b", "", 0.9, "luhn"),
     Rule("plain:phone", "plain", "PHONE", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "", 0.85),
@@ -47,34 +52,82 @@ def rule_type(rule: Rule, value: Column) -> Column:
     return F.lit(rule.type)
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
+def may_hold_tab(rule: Rule) -> bool:
+    """Whether a match may cross a cell: the pattern has something that takes tabs."""
+    return bool(regex.search(r"\\[sStTDWVhxup]|\[\^|\t|(?<!\\)\.", rule.pattern))
+
+
+def rule_spans(text: Column, rule: Rule, view: Column | None = None) -> Column:
     """Accepted matches of one rule with byte offsets.
 
-    All starts are tried: candidates at every place, taken from the left; one that is rejected
-    gives way to the next place, one that is accepted moves the cursor to its end.
+    Searched is `view` (text, or `zeros_for_os` of it, which has the same offsets). Where all
+    matches from left to right are accepted, they are the result. Where one is rejected, all
+    starts are tried: a rejected candidate gives way to the next place, an accepted one moves the
+    cursor to its end. A text with tabs is searched again with its cells closed.
     """
-    pattern = java_pattern(rule)
-    none = F.array().cast(SPANS)
-    found = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1))
-    gaps = F.split(F.regexp_replace(text, f"(?={pattern})", MARK), MARK, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cursor"), none.alias("out"))
+    hay, asked = text if view is None else view, demand(rule.pattern, False)
+    gate = F.lit(True)  # what costs less than the search and is false for most texts
+    if 0 < len(asked.strings) <= 8 and "i" not in rule.flags:
+        gate = reduce(or_, (hay.contains(x) for x in sorted(asked.strings)))
+    first = _searched(text, hay, rule, view is not None)
+    if may_hold_tab(rule):
+        fresh = lambda found: F.concat(found, F.filter(_searched(text, tx.cell_view(hay), rule, True), lambda s: ~F.exists(found, lambda t: (t["start"] == s["start"]) & (t["end"] == s["end"]))))
+        first = F.get(F.transform(F.array(first), lambda found: F.when(text.contains("\t"), fresh(found)).otherwise(found)), F.lit(0))
+    return F.when(gate, first).otherwise(F.array().cast(SPANS))
+
+
+def _searched(text: Column, hay: Column, rule: Rule, other: bool) -> Column:
+    """Accepted matches in hay; with other, their values are those of text at the same bytes."""
+    pattern, none = java_pattern(rule), F.array().cast(SPANS)
+    value = lambda m: octet_slice(text, m["start"], m["end"]) if other else m["value"]
+
+    def good(m):
+        ok = ~m["value"].contains("\t") & ~m["value"].contains("\x01")
+        return ok & check_column(rule.check, value(m)) if rule.check else ok
+
+    def hit(m):
+        v = value(m)
+        return span(rule_type(rule, v), v, m["start"], m["end"], rule.confidence, rule.id, rule.source)
+
+    def accepted(found):
+        return F.when(F.forall(found, good), F.transform(found, hit)).otherwise(_from_all_starts(hay, pattern, good, hit))
+
+    # An array of one binds the matches to a name: they are looked for once.
+    return F.when(hay.rlike(pattern), F.get(F.transform(F.array(tx.find_all(hay, pattern)), accepted), F.lit(0))).otherwise(none)
+
+
+def _from_all_starts(hay: Column, pattern: str, good, hit) -> Column:
+    """Every place where the pattern matches is a candidate: hay is cut before each, and cuts have no width."""
+    pieces = F.transform(F.split(hay, f"(?={pattern})", -1), F.octet_length)
+    lengths = F.when(hay.rlike(rf"\A(?={pattern})"), F.concat(F.array(F.lit(0)), pieces)).otherwise(pieces)
+    found = F.regexp_extract_all(hay, F.lit(f"(?=({pattern}))"), F.lit(1))
+    pairs = F.zip_with(F.slice(lengths, F.lit(1), F.size(found)), found, lambda n, m: F.struct(n.alias("n"), m.alias("m")))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cursor"), F.array().cast(SPANS).alias("out"))
 
     def step(a, x):
-        s = (a["at"] + F.octet_length(x["g"])).cast("int")
-        e = (s + F.octet_length(x["m"])).cast("int")
-        good = (s >= a["cursor"]) & (e > s) & ~x["m"].contains("\t")
-        if rule.check:
-            good = good & check_column(rule.check, x["m"])
-        hit = F.array(span(rule_type(rule, x["m"]), x["m"], s, e, rule.confidence, rule.id, rule.source))
-        return F.struct(s.alias("at"), F.when(good, e).otherwise(a["cursor"]).alias("cursor"), F.when(good, F.concat(a["out"], hit)).otherwise(a["out"]).alias("out"))
+        s = (a["at"] + x["n"]).cast("int")
+        m = F.struct(x["m"].alias("value"), s.alias("start"), (s + F.octet_length(x["m"])).cast("int").alias("end"))
+        taken = F.filter(F.array(m), lambda m: (m["start"] >= a["cursor"]) & (m["value"] != "") & good(m))
+        return F.struct(s.alias("at"), F.coalesce(F.get(taken, F.lit(0))["end"], a["cursor"]).alias("cursor"), F.concat(a["out"], F.transform(taken, hit)).alias("out"))
+
+    return F.aggregate(pairs, begin, step)["out"]
+
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(none)
+def detect(text: Column, rules: Iterable[Rule] = PLAIN_RULES, view: Column | None = None) -> Column:
+    """Candidate spans of all rules, rule by rule. Texts without digits meet only rules that demand none."""
+    rules, none = list(rules), F.array().cast(SPANS)
+    asking = [r for r in rules if demand(r.pattern, False).digits]
+    found = lambda some: F.concat(none, *(rule_spans(text, r, view) for r in some))
+    if not asking:
+        return found(rules)
+    digit = r"(?U)\d" if any(r"\d" in r.pattern for r in asking) else "[0-9]"
+    return F.when((text if view is None else view).rlike(digit), found(rules)).otherwise(found([r for r in rules if r not in asking]))
 
 
-def detect(text: Column, rules: Iterable[Rule] = PLAIN_RULES) -> Column:
-    """Candidate spans of all rules, rule by rule."""
-    return F.concat(*(rule_spans(text, r) for r in rules))
+def detect_frame(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] = PLAIN_RULES, out: str = "candidates") -> DataFrame:
+    """df with the candidate spans of all rules, found where o and O in figures count as zeros."""
+    viewed = df.withColumn("_view", tx.zeros_for_os(F.col(text_col)))
+    return viewed.withColumn(out, detect(F.col(text_col), rules, F.col("_view"))).drop("_view")
 
 
 def resolve(spans: Column) -> Column:
@@ -195,15 +248,25 @@ def restore_exact(text: Column, mappings: Column) -> Column:
 def anonymise_frame(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] = PLAIN_RULES, policy: dict[str, str] | None = None) -> DataFrame:
     """df with spans, mappings and anonymized, by plain rules only: one projection after another, no shuffle."""
     text = F.col(text_col)
-    out = df.withColumn("candidates", detect(text, rules)).withColumn("candidates", with_defaults(text, F.col("candidates")))
+    out = detect_frame(df, text_col, rules).withColumn("candidates", with_defaults(text, F.col("candidates")))
     out = out.withColumn("spans", resolve(apply_policy(F.col("candidates"), policy))).withColumn("_replaced", replaced_spans(F.col("spans")))
     out = out.withColumn("mappings", new_mappings(F.col("_replaced")))
     return out.withColumn("anonymized", anonymise(text, F.col("_replaced"), F.col("mappings"))).drop("_replaced", "candidates")
 
 
+def long_rows(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One row per element of an array of structs: keys, ord and the struct's fields.
+
+    The outer form keeps Spark from pushing "not empty" below the projections that make the array,
+    where each would be computed once more inside the next.
+    """
+    rows = df.select(*keys, F.posexplode_outer(column).alias("ord", "s"))
+    return rows.filter("ord is not null").select(*keys, "ord", "s.*")
+
+
 def long_spans(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
     """One row per span."""
-    return df.select(*keys, F.posexplode(spans).alias("ord", "s")).select(*keys, "ord", "s.*")
+    return long_rows(df, keys, spans)
 
 
 def numbered(df: DataFrame, key: str, kind: str = "type", value: str = "value", start: str = "start") -> DataFrame:

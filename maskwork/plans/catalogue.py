@@ -37,19 +37,19 @@ def _detect_one(name: str):
 
 
 def detect_all(spark, sf_dir):
-    d = docs_of(spark, sf_dir).withColumn("spans", native.detect(F.col("text")))
+    d = native.detect_frame(docs_of(spark, sf_dir), out="spans")
     return native.long_spans(d, ["doc_id"]).select("doc_id", "type", "value", "start", "end", "confidence", "detector", "source")
 
 
 def resolve_overlaps(spark, sf_dir):
-    d = docs_of(spark, sf_dir).withColumn("spans", native.resolve(native.detect(F.col("text"))))
+    d = native.detect_frame(docs_of(spark, sf_dir)).withColumn("spans", native.resolve(F.col("candidates")))
     return native.long_spans(d, ["doc_id"]).select("doc_id", "type", "value", "start", "end", "detector", priority(F.col("source")).alias("priority"))
 
 
 def policy_spans(spark, sf_dir):
     """E-mails stay readable, addresses of hosts are off, and only the first 2000 bytes are protected."""
     ranges = F.array(F.struct(F.lit(0).alias("start"), F.lit(2000).alias("end")))
-    d = docs_of(spark, sf_dir).withColumn("spans", native.resolve(native.apply_policy(native.detect(F.col("text")), {"EMAIL": "keep", "IP": "off"}, ranges)))
+    d = native.detect_frame(docs_of(spark, sf_dir)).withColumn("spans", native.resolve(native.apply_policy(F.col("candidates"), {"EMAIL": "keep", "IP": "off"}, ranges)))
     return native.long_spans(d, ["doc_id"]).select("doc_id", "type", "value", "start", "end", "enabled")
 
 
@@ -59,13 +59,13 @@ def anonymize_documents(spark, sf_dir):
 
 
 def placeholder_numbers(spark, sf_dir):
-    d = docs_of(spark, sf_dir).withColumn("spans", native.resolve(native.detect(F.col("text"))))
+    d = native.detect_frame(docs_of(spark, sf_dir)).withColumn("spans", native.resolve(F.col("candidates")))
     return native.numbered(native.long_spans(d, ["doc_id"]), "doc_id").select("doc_id", "value", "type", "placeholder")
 
 
 def mapping_entries(spark, sf_dir):
     d = native.anonymise_frame(docs_of(spark, sf_dir))
-    return d.select("doc_id", F.posexplode("mappings").alias("ord", "m")).select("doc_id", F.col("ord").cast("long"), "m.original", "m.placeholder", "m.type")
+    return native.long_rows(d, ["doc_id"], "mappings").withColumn("ord", F.col("ord").cast("long"))
 
 
 def restore_documents(spark, sf_dir):
@@ -168,7 +168,7 @@ def conversation_rarity(spark, sf_dir):
 
 def span_envelopes(spark, sf_dir):
     """One tab-separated report and one JSON object per document with spans."""
-    d = docs_of(spark, sf_dir).withColumn("spans", native.resolve(native.detect(F.col("text")))).filter(F.size("spans") > 0)
+    d = native.detect_frame(docs_of(spark, sf_dir)).withColumn("spans", native.resolve(F.col("candidates"))).filter(F.size("spans") > 0)
     return d.select("doc_id", files.tsv_lines(F.col("spans")).alias("report"), F.get_json_object(files.envelope(spans=F.col("spans")), "$.schema_version").alias("version"))
 
 
@@ -205,7 +205,7 @@ def native_against_arrow(spark, sf_dir):
     """Spans that only one of the two detectors finds: none."""
     d = docs_of(spark, sf_dir)
     keep = lambda x: native.long_spans(x, ["doc_id"]).select("doc_id", "type", "value", "start", "end", "detector", "source")
-    a = keep(d.withColumn("spans", native.detect(F.col("text"))))
+    a = keep(native.detect_frame(d, out="spans"))
     b = keep(engine.detect(d, rules=native.PLAIN_RULES, raw=True))
     return a.exceptAll(b).withColumn("side", F.lit("native")).unionByName(b.exceptAll(a).withColumn("side", F.lit("arrow")))
 
@@ -260,10 +260,14 @@ def _octets(xs: str) -> str:
     return f"coalesce(list_sum(list_transform({xs}, lambda x: strlen(x))), 0)"
 
 
+#: What the rule finds, for an engine without look-behind and possessive runs.
+_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"}
+
+
 def _matches(name: str, source: str, key: str) -> str:
     """Common table expression with the accepted matches of one plain rule."""
     r = RULES[name]
-    p = _q(r.pattern)
+    p = _q(_PATTERNS.get(name, r.pattern))
     kind = f"'{r.type}'" if r.source != "rule" else "'NUMBER'"
     return f"""
 select {key}, {kind} as type, v as value, ({_octets("gs[1:i]")} + {_octets("ms[1:i-1]")})::int as start,

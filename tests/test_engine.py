@@ -179,3 +179,31 @@ def test_name_lists(spark):
 def test_mapping_length_is_in_utf16():
     m = Ledger().load([("😀😀", "[ID_1]", "ID"), ("abc", "[ID_1]", "ID")])
     assert m.longest["[ID_1]"] == "😀😀"
+
+
+def test_native_scan_of_hostile_texts(spark):
+    import time
+
+    from maskwork.operators import native
+
+    long_run = "x" * 1_000_000
+    texts = ["\ufdd0\ufdd0 mail a.b@c.example.org here", "a@b.com.x@y.zz a@b.cc@d.ee", "1.2.3.4.5 999.1.1.1.1 1.1.1.1", "+1 (55O) 123-4567", "4111111111111112 4111111111111111", "ip 10.0.0.1\t10.0.0.2", "é" * 50 + " +1 (555) 123-4567", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    native_found = {r.doc_id: r.candidates for r in native.detect_frame(df).collect()}
+    arrow = {r.doc_id: r.spans for r in engine.detect(df, rules=native.PLAIN_RULES, raw=True).collect()}
+    assert native_found == arrow and native_found[0][0].value == "a.b@c.example.org" and native_found[0][0].start == 12
+    assert [s.value for s in native_found[3]] == ["+1 (55O) 123-4567"]
+    started = time.perf_counter()
+    (row,) = native.detect_frame(spark.createDataFrame([(long_run + " a@b.org",)], "text string")).collect()
+    assert [s.value for s in row.candidates] == ["a@b.org"] and time.perf_counter() - started < 30
+
+
+def test_native_scan_closes_cells(spark):
+    from maskwork.operators import native
+    from maskwork.sources.rules import Rule
+
+    rules = [Rule("x:words", "x", "OTHER", r"[a-z]+\s[a-z]+", "", 0.9), Rule("x:tail", "x", "OTHER", r"[0-9]+[^;]*", "", 0.9)]
+    texts = ["ab\tcd ef", "a b\tc d", "12 ab\tcd; 3", "\tab cd\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.candidates for r in native.detect_frame(df, rules=rules).collect()}
+    assert got == {r.doc_id: r.spans for r in engine.detect(df, rules=rules, raw=True).collect()} and got[0]
