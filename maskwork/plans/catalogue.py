@@ -12,7 +12,7 @@ from ..operators.review import Policy
 from ..sources import files, name_lists, rules
 from ..sources.schema import priority
 from ..streaming import conversations
-from . import api, reports
+from . import api, reports, sheets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,10 +91,15 @@ def text_lengths(spark, sf_dir):
 
 
 def offset_conversion(spark, sf_dir):
-    """UTF-16 and byte offsets of each document's tenth character."""
-    at = F.octet_length(F.left("text", F.lit(10)))
-    there = tx.utf8_to_utf16(F.col("text"), at)
-    return docs_of(spark, sf_dir).select("doc_id", at.cast("long").alias("utf8"), there.cast("long").alias("utf16"), tx.utf16_to_utf8(F.left("text", F.lit(20)), there).cast("long").alias("back"))
+    """Byte offset of every line's end in UTF-16 units, and back, over whole texts."""
+    ends = F.transform(tx.line_ranges(F.col("text")), lambda x: x["end"])
+    d = docs_of(spark, sf_dir).select("doc_id", "text", ends.alias("utf8"))
+    d = d.withColumn("utf16", tx.convert_offsets(F.col("text"), F.col("utf8"), "utf8", "utf16"))
+    d = d.withColumn("back", tx.convert_offsets(F.col("text"), F.col("utf16"), "utf16", "utf8"))
+    last = F.element_at("utf8", -1)
+    there = tx.utf8_to_utf16(F.col("text"), last)
+    d = d.select("doc_id", F.arrays_zip("utf8", "utf16", "back").alias("ends"), there.cast("long").alias("last_utf16"))
+    return native.long_rows(d, ["doc_id", "last_utf16"], "ends").select("doc_id", F.col("ord").cast("long"), F.col("utf8").cast("long"), F.col("utf16").cast("long"), F.col("back").cast("long"), "last_utf16")
 
 
 def ocr_zeros(spark, sf_dir):
@@ -162,7 +167,8 @@ def page_emails(spark, sf_dir):
 
 
 def conversation_rarity(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("text"))
     return reply.word_rarity(d, "conv_id", "text").select("word", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -223,7 +229,8 @@ def review_merge(spark, sf_dir):
 def reply_matches(spark, sf_dir):
     """Each conversation's last turn, anonymized as in its conversation, against all conversations."""
     turns = conversations.anonymize_table(table(spark, sf_dir, "conversations"), regions=["us"])
-    docs = turns.groupBy("conv_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"), F.max_by("text", "turn").alias("last"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
+    docs = turns.groupBy("conv_id").agg(F.array_join(ordered, "\n").alias("text"), F.max_by("text", "turn").alias("last"))
     placed = F.regexp_extract_all("text", F.lit(r"\[[A-Z_]+_[0-9]+\]"), F.lit(0))
     docs = docs.select(F.col("conv_id").cast("string").alias("id"), F.col("conv_id").alias("ord"), "text", F.array_distinct(placed).alias("placeholders"), "last")
     return reply.reply_check(docs.select(F.col("id").alias("reply_id"), F.col("last").alias("reply"), "id"), docs.drop("last"))
@@ -245,8 +252,9 @@ def policy_full(spark, sf_dir):
 
 _DETECT = [_detect_one(n) for n in ("email", "ipv4", "card", "phone", "token", "long_number")]
 _SQLED = [detect_all, resolve_overlaps, policy_spans, anonymize_documents, placeholder_numbers, mapping_entries, restore_documents, checksum_numbers, secret_entropy, text_lengths, offset_conversion, ocr_zeros, word_counts, line_table, figure_lines, regions_by_language, dictionary_words, dictionary_spans, name_list_spans, pii_cube, pii_documents, label_exposure, page_emails, conversation_rarity, span_envelopes, policy_ranges, clean_names]
-_OTHER = [rule_inventory, process_full_rules, round_trip_full, native_against_arrow, review_chunks, review_merge, reply_matches, conversation_state, json_calls, policy_full]
-QUERIES = {f.__name__: f for f in [*_DETECT, *_SQLED, *_OTHER]}
+_SHEETS = [sheets.value_checks, sheets.pack_examples, rule_inventory]
+_OTHER = [process_full_rules, round_trip_full, native_against_arrow, review_chunks, review_merge, reply_matches, conversation_state, json_calls, policy_full]
+QUERIES = {f.__name__: f for f in [*_DETECT, *_SQLED, *_SHEETS, *_OTHER]}
 
 
 # SQL ---------------------------------------------------------------------------------------
@@ -344,9 +352,10 @@ from m""",
     "text_lengths": r"""
 select doc_id, strlen(text)::bigint as utf8, length(text)::bigint as points, (length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')))::bigint as utf16,
   regexp_matches(text, '[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]') as cjk, regexp_matches(text, '\p{Han}') as han from documents""",
-    "offset_conversion": r"""
-select doc_id, strlen(left(text, 10))::bigint as utf8, (length(left(text, 10)) + len(regexp_extract_all(left(text, 10), '[\x{10000}-\x{10FFFF}]')))::bigint as utf16,
-  strlen(left(text, 10))::bigint as back from documents""",
+    "offset_conversion": rf"""
+with l as (select doc_id, text, string_split(text, chr(10)) ls from documents),
+u as (select doc_id, ls, list_transform(ls, lambda x: length(x) + len(regexp_extract_all(x, '[\x{{10000}}-\x{{10FFFF}}]'))) us, generate_subscripts(ls, 1) i from l)
+select doc_id, i - 1 as ord, ({_octets('ls[1:i]')} + i - 1)::bigint as utf8, (list_sum(us[1:i]) + i - 1)::bigint as utf16, ({_octets('ls[1:i]')} + i - 1)::bigint as back, (list_sum(us) + len(us) - 1)::bigint as last_utf16 from u""",
     "ocr_zeros": r"""
 with recursive w as (
   select doc_id, replace(text, '0', 'O') t from documents
@@ -404,3 +413,4 @@ m as (select doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') ms, string_sp
 u as (select doc_id, ms, gs, generate_subscripts(ms, 1) i from m),
 r as (select doc_id, ms[i] || gs[i + 1] || ms[i + 1] as value, ({_octets("gs[1:i]")} + {_octets("ms[1:i-1]")})::int as start, ({_octets("gs[1:i+1]")} + {_octets("ms[1:i+1]")})::int as "end" from u where i < len(ms) and gs[i + 1] = ' ')
 select doc_id, 'COMPANY' as type, value, start, "end" from r join t on value = name where name <> ''"""
+ORACLES |= {"value_checks": sheets.VALUE_CHECKS_SQL, "pack_examples": sheets.PACK_EXAMPLES_SQL, "rule_inventory": sheets.RULE_INVENTORY_SQL}
