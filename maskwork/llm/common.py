@@ -90,6 +90,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return out.select(*(c for c in out.columns if c not in ("_hot", "_cold", "_salt", "_found")), *(F.col(f"_found.{c}").alias(c) for c in values))
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join with right, unique by key and wide; a key that many of left's rows hold is split.
+
+    rows is the number of left's rows; counted, where given, has left's keys at less cost. Keys with
+    more than a partition's share of rows are dealt under as many salts as they have such shares,
+    and right's row is sent once to each: all copies together are fewer than twice the partitions.
+    """
+    n = shuffle_partitions(left.sparkSession)
+    share = max(64, rows // n)
+    hot = cut((left if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("_salts")
+    right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def text_key(text: Column) -> Column:
     """A 64-bit hash of a text; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

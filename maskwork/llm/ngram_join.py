@@ -40,13 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import as_bytes, blobs, pieces, release
-from .common import bounded_batches, cut, hot_keys, maybe_broadcast, shuffle_partitions, spread_join, text_key, without_rows
+from .common import bounded_batches, cut, hot_keys, maybe_broadcast, split_join, spread_join, text_key, without_rows
 from .components import components
 
 SPARE = 0.25
 LEAST_BITS, MOST_BITS = 512, 1 << 14
 FLUSH_KEYS = 1 << 20
 BLOCK = 512
+#: Bytes of text whose keys one task sorts, and the most such parts. Keys of so much text take
+#: about 12 MB as they travel and eight times that while they are sorted.
+PART_BYTES = 24 << 20
+MOST_PARTS = 100_000
 TABLE_LIMIT = 300_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -311,17 +315,23 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 def linked(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """One row per row of df: id, key (`text_key`), n_shingles and component, a number that linked rows share."""
     spark = bounded_batches(df).sparkSession
-    parts = max(1, shuffle_partitions(spark) // 2)  # a set's signature is sent to each part that it has keys in
     text = F.col(f"`{text_col}`")
     slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
+    octets = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # A set's signature is sent to each part that it has keys in: no more parts than memory asks for.
+    parts = min(MOST_PARTS, max(1, -(-octets // PART_BYTES), min(spark.sparkContext.defaultParallelism, octets >> 20)))
     sketched = slim.mapInArrow(partial(_sketch, k=k, num=num, den=den, parts=parts), OUT)
     met = cut(sketched.repartition(parts, "part").mapInArrow(_meet, OUT).drop("part", "blob"))
     docs = met.filter("kind = 0").select("id", "key", F.col("a").alias("n_shingles"), F.col("b").alias("sig"))
     members = cut(met.filter("kind = 3").select(F.col("a").alias("bucket"), F.col("b").alias("sig")).distinct())
-    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("rows")), "bucket")
-    busy = members.join(sized.groupBy("sig").agg(F.sum("rows").alias("met")), "sig")
-    hubs = busy.groupBy("bucket").agg(F.max_by("sig", F.struct("met", "sig")).alias("a"))
-    around = members.join(hubs, "bucket").filter("a <> sig").select("a", F.col("sig").alias("b"))
+    total = members.count()
+    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("rows")))
+    hot = cut(hot_keys(sizes, "rows", total))
+    sized = spread_join(members, sizes, ["bucket"], hot)
+    popular = cut(sized.groupBy("sig").agg(F.sum("rows").alias("met"), F.count("*").alias("buckets")))
+    busy = spread_join(members, popular, ["sig"], hot_keys(popular, "buckets", total))
+    hubs = cut(busy.groupBy("bucket").agg(F.max_by("sig", F.struct("met", "sig")).alias("a")))
+    around = spread_join(members, hubs, ["bucket"], hubs.join(F.broadcast(hot.select("bucket")), "bucket")).filter("a <> sig").select("a", F.col("sig").alias("b"))
     ordered = around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     stars = cut(met.filter("kind = 2").select("a", "b").unionByName(ordered).distinct())
 
@@ -332,15 +342,18 @@ def linked(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str
     sets = cut(sets.dropDuplicates(["sig"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
+        n = pairs.count()
+        with_x = split_join(pairs, sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a", n)
+        with_y = split_join(with_x, sets.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b", n, pairs)
         return with_y.select("a", "b", "x", "y").mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
 
     edges = cut(verified(stars))
     comps = components(edges)
-    placed = members.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
+    hot_sigs = comps.withColumnRenamed("node", "sig").join(F.broadcast(hot_keys(popular, "buckets", total).select("sig")), "sig")
+    placed = spread_join(members, comps.withColumnRenamed("node", "sig"), ["sig"], hot_sigs).withColumn("comp", F.coalesce("component", "sig")).drop("component")
     split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
-    open_rows = cut(placed.join(split.select("bucket", "rows"), "bucket"))
+    split = cut(split.select("bucket", "rows"))
+    open_rows = cut(spread_join(placed, split, ["bucket"], hot_keys(split, "rows", total)).filter("rows is not null"))
     if not open_rows.isEmpty():
         blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
         r = open_rows.join(sets.select("sig", "bits"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int"))
