@@ -82,6 +82,48 @@ def op10_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_parity_sketch_join, op2_hash_tree_sharding, op3_ranked_token_file, op4_curriculum_mix, op5_patience_line_dedup, op6_projection_forest, op7_mixture_language_id, op8_ftrl_quality, op9_tree_merge_dedup, op10_sentencepiece_chunks)}
 
 ORACLES = {
+    "op1_parity_sketch_join": r"""
+with recursive d as (
+  select row_number() over () k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+), s as materialized (
+  select distinct k, array_to_string(w[i : i + 3], ' ') g from (select k, w, unnest(range(1, greatest(len(w) - 2, 2))) i from d where len(w) > 0)
+), n as materialized (
+  select k, count(*) n, bit_xor(hash(g)) x from s group by k
+), c as materialized (  -- equal sets are one node
+  select k, n, min(k) over (partition by n, x) node from n
+), t as materialized (
+  select s.k, s.g, c.n from s join c on s.k = c.k and c.k = c.node
+), p as materialized (
+  select a.k a, b.k b from t a join t b on a.g = b.g and a.k < b.k group by a.k, b.k, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e as materialized (
+  select a, b from p union all select b, a from p
+), r as (
+  select node a, node z from c union select e.b, r.z from r join e on e.a = r.a
+), m as (
+  select a node, min(z) z from r group by a
+), o as (
+  select d.k, doc_id, c.n, m.z from d left join c on c.k = d.k left join m on m.node = c.node
+)
+select doc_id, coalesce(n, 0)::bigint n_shingles, case when n is null then doc_id else min(doc_id) over (partition by z) end component_id from o
+""",
+    "op6_projection_forest": r"""
+with recursive v as (
+  select row_number() over () k, vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+), g as materialized (
+  select * from v where vec_id is not null and label is not null and len(e) > 0
+    and list_bool_and(list_transform(e, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))
+), p as materialized (
+  select a.k, b.k l from g a join g b on a.label = b.label and len(a.e) = len(b.e) and a.k <> b.k and list_cosine_similarity(a.e, b.e) >= 0.93
+), r as (
+  select k, vec_id c from g union select p.k, r.c from r join p on p.l = r.k
+), m as (
+  select k, min(c) c from r group by k
+), n as (
+  select k, count(*) n from p group by k
+)
+select vec_id, coalesce(n, 0)::bigint n_links, coalesce(c, vec_id) component_id, coalesce(vec_id = coalesce(c, vec_id), true) kept
+from v left join m using (k) left join n using (k)
+""",
     "op2_hash_tree_sharding": r"""
 with crc as (
   select list_transform(range(256), lambda n: list_reduce([n::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) t

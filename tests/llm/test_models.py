@@ -128,6 +128,57 @@ def test_mixtures_of_more_than_three_languages():
     assert np.allclose(share[:-1], np.vstack([langmix.proportions([t], table) for t in texts]))
 
 
+def plain_proportions(text, table):
+    """Shares of the languages by expectation-maximisation, word by word in plain Python, over all sets of best languages."""
+    import math
+
+    clean = "".join(chr(langmix._LOWER[b]) if b < 128 else chr(b) for b in text)
+    padded, langs = " " + clean + "   ", table.shape[1]
+
+    def bucket(a, b, c):
+        return ((((ord(a) << 16) | (ord(b) << 8) | ord(c)) * 2654435761) % (1 << 32)) >> 16
+
+    starts = [i for i in range(len(padded) - 2) if padded[i] == " " != padded[i + 1]]
+    logs = []
+    for i, j in zip(starts, [*starts[1:], len(padded) - 2]):
+        grams = [padded[k : k + 3] for k in range(i, j) if padded[k : k + 2] != "  "]
+        logs.append([sum(float(table[bucket(*g), k]) for g in grams) for k in range(langs)])
+    words = starts
+    like = [[math.exp(max(x - max(row), -600)) for x in row] for row in logs]
+
+    def fit(allowed):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(langs)]
+        for _ in range(langmix.ROUNDS):
+            new = [0.0] * langs
+            for row in like:
+                total = max(sum(x * s for x, s in zip(row, share)), 1e-300)
+                for k in range(langs):
+                    new[k] += row[k] * share[k] / total / len(words)
+            share = new
+        return share, sum(math.log(max(sum(x * s for x, s in zip(row, share)), 1e-300)) for row in like)
+
+    every, _ = fit(range(langs))
+    ranking = sorted(range(langs), key=lambda k: -every[k])
+    best, best_value = None, -math.inf
+    for size in range(1, langs + 1):
+        share, value = fit(ranking[:size])
+        value -= langmix.PENALTY * size * math.log(len(words) + 1)
+        if value > best_value:
+            best, best_value = share, value
+        elif size >= langmix.TRIED:
+            break
+    return best
+
+
+def test_language_shares_match_plain_python(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    names, table = langmix.train(docs)
+    texts = [r.text.encode()[:400] for r in docs.orderBy("doc_id").limit(12).collect()] + [b"the house est la maison und das Haus ist de los"]
+    got = langmix.proportions(texts, table)
+    for t, row in zip(texts, got):
+        assert np.allclose(row, plain_proportions(t, table), atol=1e-6), t
+
+
 def test_language_model_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langmix.train(empty)[0] == []
@@ -173,6 +224,32 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), w).collect() == []
 
 
+def test_ftrl_matches_a_dense_loop():
+    import math
+
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(int(rng.integers(0, 2)), *quality.features(" ".join(rng.choice(words, 12)).encode())) for _ in range(40)]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for label, at, value in rows:
+            x = dict(zip(at.tolist(), map(float, value)))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    got = quality.ftrl(rows)
+    assert all(abs(got[i] - weight(i)) < 1e-5 for i in z) and not got[[k for k in range(1 << 12) if k not in z]].any()
+
+
 def test_sparse_dot_is_the_dense_one(spark):
     w = np.random.default_rng(0).standard_normal(1 << quality.BITS).astype(np.float32)
     text = "To to to be OR not, ### to be"
