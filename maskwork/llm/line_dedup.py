@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import as_bytes, lists, pieces
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, packed, text_key
 
 MIN_WORDS = 8
 GROWTH = 8
@@ -216,7 +216,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All documents (node, id, sig, hashes, words, seq) and those to cut (node, gone, partners)."""
-    slim = bounded_batches(df).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"), F.col(text_col).alias("text")).mapInArrow(_lines, "id long, sig long, hashes array<long>, words array<int>")
+    slim = bounded_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(F.col(f"`{text_col}`")).alias("sig"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_lines, "id long, sig long, hashes array<long>, words array<int>")
     docs = cut(slim.dropDuplicates(["id", "sig"]).withColumn("node", F.monotonically_increasing_id()).withColumn("seq", F.xxhash64("hashes")))
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("sig").alias("sig"), F.col("node").alias("node"))
     heads = docs.filter(F.aggregate("words", F.lit(0).cast("long"), lambda a, n: a + n) >= MIN_WORDS).select("seq", place.alias("place"), F.size("hashes").alias("n"))
@@ -260,20 +260,30 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs, cut(gone)
 
 
+ADDED = ("n_lines", "n_removed", "removed_words", "partners")
+
+
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df, the cleaned text in place of the old, n_lines, n_removed, removed_words, partners."""
+    """All columns of df, the cleaned text in place of the old, and n_lines, n_removed, removed_words, partners.
+
+    These replace columns of the same names; all others are kept, whatever their names.
+    """
     docs, gone = deletions(df, id_col, text_col)
     removed = F.aggregate("gone", F.lit(0).cast("long"), lambda a, i: a + F.element_at("words", i + 1))
-    cuts = gone.join(docs, "node").select(F.col("id").alias("_cid"), F.col("sig").alias("_csig"), "gone", removed.alias("removed_words"), "partners")
-    own = df.withColumn("_sig", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = own.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("_cid")) & (F.col("_sig") == F.col("_csig")), "left")
-    parts = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept))
-    none = F.array().cast("array<long>")
-    return out.withColumns({"n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "removed_words": F.coalesce("removed_words", F.lit(0).cast("long")), "partners": F.coalesce("partners", none)}).drop("_sig", "_cid", "_csig", "gone")
+    cuts = gone.join(docs, "node").select(F.col("id").alias("_cid"), F.col("sig").alias("_csig"), "gone", removed.alias("removed"), "partners")
+    text = F.col(f"_row.`{text_col}`")
+    own = packed(df).withColumns({"_id": F.col(f"_row.`{id_col}`").cast("long"), "_sig": text_key(text)})
+    out = own.join(cuts, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_sig") == F.col("_csig")), "left")
+    lines = F.split(text, "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(text_col)
+    columns = [cleaned if c == text_col else F.col(f"_row.`{c}`") for c in df.columns if c not in ADDED]
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    added = [count(F.size(lines)), count(F.size("gone")), count(F.col("removed")), F.coalesce("partners", F.array().cast("array<long>"))]
+    return out.select(*columns, *(c.alias(n) for c, n in zip(added, ADDED)))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with repeated blocks deleted from later documents."""
-    return report(df, id_col, text_col).select(*df.columns)
+    cleaned = report(packed(df, id_col, text_col), id_col, text_col)
+    return cleaned.select(*(F.col(f"`{c}`") if c == text_col else F.col(f"_row.`{c}`") for c in df.columns))

@@ -237,6 +237,19 @@ def test_lines_match_brute_force_over_all_pairs(spark, rows):
         assert (r.text, r.n_removed) == ("\n".join(kept), len(want[r.doc_id])), r.doc_id
 
 
+def test_lines_on_odd_rows_and_clashing_columns(spark):
+    line = long_line("a")
+    long = "\n".join(f"{k} filler" for k in range(20_000))
+    rows = [(None, f"{line}\nnull id"), (None, f"{line}\nother text"), (3, f"{line}\nlate"), (3, f"{line}\nlate"), (3, f"other with the same id\n{line}"), (1, f"{long}\n{line}"), (2, long)]
+    names = ["gone", "partners", "removed_words", "_sig", "_row", "n_lines", "id"]
+    df = spark.createDataFrame([(i, t, *"abcdefg") for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = line_dedup.report(df).collect()
+    assert Counter((r.doc_id, r.text if len(r.text) < 100 else len(r.text)) for r in got) == Counter([(None, "null id"), (None, "other text"), (3, "late"), (3, "late"), (3, "other with the same id"), (1, len(rows[5][1])), (2, "")])
+    assert all((r.gone, r._sig, r._row, r.id) == ("a", "d", "e", "g") for r in got) and {r.n_lines for r in got} == {2, 20_000, 20_001}
+    kept = line_dedup.remove_repeats(df)
+    assert kept.columns == df.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple("abcdefg")}
+
+
 def test_common_subsequence(monkeypatch):
     rng = random.Random(5)
     for bits in (1 << 28, 20):
