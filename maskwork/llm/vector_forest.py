@@ -11,8 +11,8 @@ which both sides can tell from their leaf lists, so that counts and a union-find
 each leaf, never pairs. A leaf with more than BLOCK vectors is compared in blocks: an exact way,
 with each task bounded.
 
-Fitted sample: at most SAMPLE_PER_LEAF vectors a leaf, leaves of about LEAF_ROWS rows, at most
-MAX_LEAVES leaves. Every vector is routed and compared. Tests measure recall by brute force.
+Fitted sample: at most SAMPLE_PER_LEAF vectors a leaf and about SAMPLE_BYTES, leaves of about
+LEAF_ROWS rows, at most MAX_LEAVES leaves. Every vector is routed and compared. Tests measure recall by brute force.
 
 Defined results: null, zero, empty and non-finite vectors, vectors with null components, and
 rows with null label or id link with nothing and are components of their own; vectors of
@@ -39,6 +39,8 @@ LEAF_ROWS = 4096
 SAMPLE_PER_LEAF = 64
 MAX_LEAVES = 4096
 MAX_WIDTHS = 1000
+#: Bytes of all samples together, in doubles: what the driver holds, whatever the vectors' length.
+SAMPLE_BYTES = 128 << 20
 BLOCK = 4096
 
 
@@ -48,21 +50,22 @@ def reach(threshold: float) -> float:
 
 
 def fit_tree(sample: np.ndarray, depth: int, seed: int, band: float) -> dict[int, tuple[float, float]]:
-    """Low and high cut of every node that is split; node 1 is the root, 2n and 2n + 1 the children of n."""
-    cuts, at = {}, {1: sample}
-    for _ in range(depth):
-        below = {}
-        for node, rows in at.items():
-            if not len(rows):
-                continue
-            p = rows @ direction(seed, node, sample.shape[1])
-            lo, hi = np.median(p) - band, np.median(p) + band
-            left, right = p <= hi, p >= lo
-            if left.mean() ** 2 + right.mean() ** 2 >= 1:
-                continue
-            cuts[node] = (float(lo), float(hi))
-            below[2 * node], below[2 * node + 1] = rows[left], rows[right]
-        at = below
+    """Low and high cut of every node that is split; node 1 is the root, 2n and 2n + 1 the children of n.
+
+    Depth first: what is held at a time is one path, less than three times the sample.
+    """
+    cuts, todo = {}, [(1, 0, sample)]
+    while todo:
+        node, level, rows = todo.pop()
+        if level == depth or not len(rows):
+            continue
+        p = rows @ direction(seed, node, sample.shape[1])
+        lo, hi = np.median(p) - band, np.median(p) + band
+        left, right = p <= hi, p >= lo
+        if left.mean() ** 2 + right.mean() ** 2 >= 1:
+            continue
+        cuts[node] = (float(lo), float(hi))
+        todo += [(2 * node, level + 1, rows[left]), (2 * node + 1, level + 1, rows[right])]
     return cuts
 
 
@@ -184,7 +187,7 @@ def link(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_
     parts = []
     for width, count in sizes:
         depth = min(MAX_LEAVES.bit_length() - 1, max(0, int(np.ceil(np.log2(count / leaf_rows)))))
-        share = min(1.0, SAMPLE_PER_LEAF * (1 << depth) / count)
+        share = min(1.0, SAMPLE_PER_LEAF * (1 << depth) / count, SAMPLE_BYTES / (8 * width * len(sizes)) / count)
         own = nodes.filter(F.size("v") == width)
         picked = own.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < share * (1 << 20)).select("v").toArrow() if depth else None
         sample = unit(np.stack(picked.column("v").to_numpy())) if depth and picked.num_rows else np.zeros((0, width))

@@ -278,8 +278,9 @@ def test_targets_by_water_filling(spark):
 def test_mix(spark):
     rng = random.Random(3)
     rows = [(k, " ".join("w" * rng.randrange(0, 40)), s) for k, s in enumerate(["a"] * 200 + ["b"] * 30 + [None] * 20 + ["c"] * 5)] + [(7, None, "a"), (7, "x y", "a"), (7, "x y", "a"), (None, "n n", "b")]
-    df = frame(spark, rows).drop("size")
+    df = frame(spark, rows).withColumns({c: F.lit(c) for c in ("target", "slope", "source_size", "_sid", "_row", "_doc", "positions")})
     out = mixture.mix(df)
+    assert out.columns == ["doc_id", "text", "source", "slope", "_sid", "_row", "_doc", *mixture.ADDED] and out.first()["_sid"] == "_sid"
     got = out.collect()
     assert len(got) == len(rows)
     by = {}
@@ -296,7 +297,7 @@ def test_mix(spark):
     more = mixture.mix(df.repartition(5)).collect()
     assert again == {(r.doc_id, r.text): sorted(x.taken for x in more if (x.doc_id, x.text) == (r.doc_id, r.text)) for r in more}
     stream = mixture.training_stream(df)
-    assert stream.columns == df.columns and stream.count() == sum(len(r.positions) for r in got)
+    assert stream.columns == df.columns and stream.first()["target"] == "target" and stream.count() == sum(len(r.positions) for r in got)
     assert mixture.mix(df.limit(0)).collect() == []
 
 
