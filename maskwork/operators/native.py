@@ -71,18 +71,20 @@ def rule_spans(text: Column, rule: Rule, view: Column | None = None) -> Column:
         gate = reduce(or_, (hay.contains(x) for x in sorted(asked.strings)))
     first = _searched(text, hay, rule, view is not None)
     if may_hold_tab(rule):
-        fresh = lambda found: F.concat(found, F.filter(_searched(text, tx.cell_view(hay), rule, True), lambda s: ~F.exists(found, lambda t: (t["start"] == s["start"]) & (t["end"] == s["end"]))))
+        fresh = lambda found: F.concat(found, _searched(text, tx.cell_view(hay), rule, True, found))
         first = F.get(F.transform(F.array(first), lambda found: F.when(text.contains("\t"), fresh(found)).otherwise(found)), F.lit(0))
     return F.when(gate, first).otherwise(F.array().cast(SPANS))
 
 
-def _searched(text: Column, hay: Column, rule: Rule, other: bool) -> Column:
-    """Accepted matches in hay; with other, their values are those of text at the same bytes."""
+def _searched(text: Column, hay: Column, rule: Rule, other: bool, seen: Column | None = None) -> Column:
+    """Accepted matches in hay that were not seen before; with other, their values are those of text at the same bytes."""
     pattern, none = java_pattern(rule), F.array().cast(SPANS)
     value = lambda m: octet_slice(text, m["start"], m["end"]) if other else m["value"]
 
     def good(m):
         ok = ~m["value"].contains("\t") & ~m["value"].contains("\x01")
+        if seen is not None:
+            ok = ok & ~F.exists(seen, lambda s: (s["start"] == m["start"]) & (s["end"] == m["end"]))
         return ok & check_column(rule.check, value(m)) if rule.check else ok
 
     def hit(m):

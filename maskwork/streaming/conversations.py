@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,19 +36,29 @@ def _loaded(state: str | None) -> Ledger:
     return Ledger().load((m["original"], m["placeholder"], m["type"]) for m in json.loads(state or "[]"))
 
 
-def _with_state(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _with_state(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState, keep_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     ledger = _loaded(state.get[0] if state.exists else None)
     frames = list(frames)
     if frames:
         out = _turns(pd.concat(frames), ledger)
         state.update((json.dumps(ledger.mappings(), ensure_ascii=False),))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield out
 
 
-def anonymize_stream(turns: DataFrame, **detect_options) -> DataFrame:
-    """A stream of (conv_id, turn, role, text), anonymized; `mappings` holds what each turn added."""
+def anonymize_stream(turns: DataFrame, keep_ms: int | None = None, **detect_options) -> DataFrame:
+    """A stream of (conv_id, turn, role, text), anonymized; `mappings` holds what each turn added.
+
+    With keep_ms, a conversation without a turn for so many milliseconds is forgotten, and would
+    start anew; without it, every mapping is kept for ever.
+    """
     found = detect(turns.select("conv_id", "turn", "role", "text"), **detect_options)
-    return found.groupBy("conv_id").applyInPandasWithState(_with_state, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return found.groupBy("conv_id").applyInPandasWithState(partial(_with_state, keep_ms=keep_ms), OUT, STATE, "append", timeout)
 
 
 def anonymize_table(turns: DataFrame, **detect_options) -> DataFrame:

@@ -207,3 +207,10 @@ def test_native_scan_closes_cells(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: r.candidates for r in native.detect_frame(df, rules=rules).collect()}
     assert got == {r.doc_id: r.spans for r in engine.detect(df, rules=rules, raw=True).collect()} and got[0]
+
+
+def test_lists_and_unknown_fields_of_requests():
+    ask = lambda **r: json.loads(api.call("detect", json.dumps({"schema_version": 1, "text": "Acme Works met 12345678", "regions": ["gb"], "later_field": 1} | r)))
+    assert ask(include_bundled_lists=True)["status"] == "core_error"
+    assert [d["detector"] for d in ask(include_bundled_lists=True, lists=[{"type": "COMPANY", "names": ["Acme Works"]}])["detections"]] == ["list:company", "regex:gb:bank_account"]
+    assert [d["type"] for d in ask(selection={"disabled": ["regex:gb:bank_account"], "not_known": 3})["detections"]] == []
