@@ -336,8 +336,8 @@ def linked(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str
     stars = cut(met.filter("kind = 2").select("a", "b").unionByName(ordered).distinct())
 
     needed = stars.select(F.col("a").alias("sig")).union(stars.select("b")).distinct()
-    chosen = docs.join(needed, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-    at = cut(chosen.select(F.col("id").alias("chosen_id"), "sig"))
+    each = cut(docs.groupBy("sig").agg(F.min("id").alias("chosen_id"), F.count("*").alias("rows")))
+    at = cut(each.join(needed, "sig", "left_semi").select("chosen_id", "sig"))
     sets = slim.join(maybe_broadcast(at, at.count()), F.col("id").eqNullSafe(F.col("chosen_id"))).select("sig", "text").mapInArrow(partial(_sets, k=k), "sig long, bits binary, members binary")
     sets = cut(sets.dropDuplicates(["sig"]))
 
@@ -364,7 +364,9 @@ def linked(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str
         crossed = cut(r.mapInArrow(partial(_cross, num=num, den=den), "a long, b long").distinct())
         edges = edges.unionByName(verified(crossed))
         comps = components(edges)
-    nodes = docs.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = comps.withColumnRenamed("node", "sig")
+    copied = hot_keys(each, "rows", docs.count()).select("sig")
+    nodes = spread_join(docs, named, ["sig"], named.join(F.broadcast(copied), "sig")).withColumn("component", F.coalesce("component", "sig"))
     return cut(nodes.select("id", "key", "n_shingles", "component"))
 
 
