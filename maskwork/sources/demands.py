@@ -28,7 +28,12 @@ class Demand:
     strings: frozenset[str] = frozenset()
 
     def met(self, digits: int, text: str) -> bool:
-        return digits >= self.digits and (not self.strings or any(s in text for s in self.strings))
+        if digits < self.digits:
+            return False
+        for s in self.strings:
+            if s in text:
+                return True
+        return not self.strings
 
 
 def _better(a: frozenset[str], b: frozenset[str]) -> frozenset[str]:
