@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import as_bytes, lists, pieces
-from .common import bounded_batches, cut, packed, text_key
+from .common import bounded_batches, cut, hot_keys, packed, spread_join, text_key
 
 MIN_WORDS = 8
 GROWTH = 8
@@ -226,8 +226,9 @@ def deletions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     alone = docs.join(found.select("node"), "node", "left_anti").select("node", "id", "sig", "hashes", "words")
     held = alone.mapInArrow(_held, "w long, id long, sig long, node long").select("w", place.alias("place"))
-    owners = held.groupBy("w").agg(F.min("place").alias("first"), F.count("*").alias("df")).filter("df > 1")
-    shared = cut(held.join(owners, "w").select("w", "place", F.col("first.node").alias("first")))
+    owners = cut(held.groupBy("w").agg(F.min("place").alias("least"), F.count("*").alias("df")).filter("df > 1").select("w", F.col("least.node").alias("first"), "df"))
+    total = owners.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    shared = cut(spread_join(held, owners, ["w"], hot_keys(owners, "df", total)).filter("first is not null").select("w", "place", "first"))
     lines = docs.select(F.col("node").alias("b"), F.col("hashes").alias("q"), "words")
     first = docs.select(F.col("node").alias("a"), F.col("id").alias("first_id"), F.col("hashes").alias("p"))
 
