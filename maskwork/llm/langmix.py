@@ -13,7 +13,8 @@ is bounded; more languages are an error, never a silent cut.
 
 Defined results: null text or text without a letter is `und` with score 0, as is everything when
 nothing was learned; rows with null lang are predicted but not learned from; a very long text is
-scored whole; repeated rows count each time; an empty table gives no rows. `classify` keeps all
+scored whole; repeated rows count each time; of equal proportions the language that sorts first is
+taken; an empty table gives no rows. `classify` keeps all
 columns of its input; `lang_pred` and `score` replace columns of those names.
 """
 

@@ -22,7 +22,7 @@ is thus either verified or already connected, and components are exact.
 Verification intersects the whole hash sets.
 
 Defined results: null and empty texts have an empty set, no links and themselves as component;
-with fewer words than a shingle, the whole word sequence is the one member; repeated rows are
+similarity of just num/den links; with fewer words than a shingle, the whole word sequence is the one member; repeated rows are
 copies of one node (component_id: smallest id, null ids only where no other is there); very long
 texts are hashed whole; an empty table gives no rows; extra columns are ignored by
 `link_components` and kept by `keep_one`, whatever their names.

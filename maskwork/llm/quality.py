@@ -11,7 +11,8 @@ updates in hash order and returns the 2**BITS weights, whose size is fixed.
 
 Defined results: null and empty texts have no features and score the bias; labels other than 0
 and 1 and nulls are not learned from; without training rows every score is 0.5; a document that
-has several labels is learned from with each. `score` keeps the columns asked for.
+has several labels is learned from with each; a very long text is scored whole; repeated rows are scored
+alike; an empty table gives no rows. `score` keeps the columns asked for.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Fitted sample: at most SAMPLE_PER_LEAF vectors a leaf and about SAMPLE_BYTES, le
 LEAF_ROWS rows, at most MAX_LEAVES leaves. Every vector is routed and compared. Tests measure recall by brute force.
 
 Defined results: null, zero, empty and non-finite vectors, vectors with null components, and
-rows with null label or id link with nothing and are components of their own; vectors of
+rows with null label or id link with nothing (a similarity of just the threshold links) and are components of their own; vectors of
 different lengths are never compared (more than MAX_WIDTHS lengths are an error); repeated rows are copies with similarity 1; an empty table
 gives no rows; extra columns are ignored.
 """
