@@ -1,4 +1,14 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read by the next.
+
+Defined results, stage by stage. Null, empty and letterless texts: dropped by language_id; one group
+of equal texts in exact_dedup (which deletes white space first); linked with nothing in ngram_join;
+of size 0, so never taken, if without words, in mixing; no ids in sentencepiece. Null or repeated
+ids: rows are told apart by id and text in both dedup stages, which keep one row a group (exact: most
+code points, then smallest id; near: smallest id; null last); repeated rows are separate documents
+elsewhere. Very long texts are worked on whole. Null sources are a source of their own, last in
+order. Empty tables give no rows. All but the last stage keep every column, whatever its name; the
+last returns doc_id, lang, source, n_tokens, ids and round_trip.
+"""
 
 from __future__ import annotations
 
